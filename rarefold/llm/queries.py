@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rarefold.llm import quality_rules, secret_scans
+from rarefold.llm import packing, quality_classifier, quality_rules, secret_scans
 from rarefold.llm.common import load
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    out = quality_classifier.scored(docs.select("doc_id", "text"), quality_classifier.trained(docs, load(spark, sf_dir, "labels")))
+    return out.select("doc_id", (quality_classifier.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -18,5 +29,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_classifier, op7_quality_rules, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
