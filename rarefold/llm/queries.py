@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import packing, quality_classifier, quality_rules, secret_scans
+from rarefold.llm import media, packing, quality_classifier, quality_rules, secret_scans, warc
 from rarefold.llm.common import load
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(load(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(load(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality_classifier.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digested(load(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -29,5 +37,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_classifier, op7_quality_rules, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
