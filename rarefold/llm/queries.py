@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import media, packing, quality_classifier, quality_rules, secret_scans, warc
+from rarefold.llm import media, near_dup, packing, quality_classifier, quality_rules, secret_scans, warc
 from rarefold.llm.common import load
 
 
@@ -32,10 +32,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.grouped(load(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scans.scanned(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op8_minhash_near_dedup, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
