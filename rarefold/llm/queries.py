@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import media, near_dup, packing, quality_classifier, quality_rules, secret_scans, warc
+from rarefold.llm import lm_scoring, media, near_dup, packing, quality_classifier, quality_rules, secret_scans, warc
 from rarefold.llm.common import load
 
 
@@ -41,5 +41,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op8_minhash_near_dedup, op9_secret_scans)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op8_minhash_near_dedup, op9_secret_scans, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
