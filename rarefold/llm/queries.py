@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import lm_scoring, media, near_dup, packing, quality_classifier, quality_rules, secret_scans, warc
+from rarefold.llm import license_scans, lm_scoring, media, near_dup, packing, piece_codec, quality_classifier, quality_rules, secret_scans, warc
 from rarefold.llm.common import load
 
 
@@ -27,6 +27,16 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digested(load(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scans.scanned(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    each = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"]))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(each, ",").alias("matches"), F.array_join(F.transform("licenses", lambda x: x["wording"]), ";").alias("wording"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.coded(load(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -45,5 +55,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op7_quality_rules, op8_minhash_near_dedup, op9_secret_scans, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_quality_classifier, op4_media_columns, op5_license_scans, op6_sentencepiece, op7_quality_rules, op8_minhash_near_dedup, op9_secret_scans, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
