@@ -100,45 +100,48 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """A row per document's distinct normalised line with a word: host_, doc_ (the text's hash), line_ (hash), words_ (in all its repeats)."""
+    """A row per row of docs and normalised line with a word: id_, host_, doc_ (the text's hash), line_ (hash)."""
     body = F.coalesce(F.col(text), F.lit(""))
     return (
-        docs.select(F.col(host).alias("host_"), F.xxhash64(body).alias("doc_"), F.explode(F.split(body, "\n")).alias("raw_"))
+        docs.select(F.col("doc_id").alias("id_"), F.col(host).alias("host_"), F.xxhash64(body).alias("doc_"), F.explode(F.split(body, "\n")).alias("raw_"))
         .withColumn("raw_", normal_line(F.col("raw_")))
         .where("raw_ <> ''")
-        .select("host_", "doc_", F.xxhash64("raw_").alias("line_"), F.size(F.split("raw_", " ")).cast("long").alias("words_"))
+        .select("id_", "host_", "doc_", F.xxhash64("raw_").alias("line_"))
     )
 
 
 def frequent_lines(docs: DataFrame, max_documents: int, text: str = "text", host: str = "source") -> DataFrame:
-    """host_, doc_, line_, words_ of the lines to remove: those that over max_documents distinct texts of the host hold, except in the first text.
+    """host_, doc_ and line_ of the lines to remove: those that over max_documents distinct texts of the host hold, except in the text of the smallest doc_id (in all, where no holder has an id).
 
     Copies of one text count once. The counts are summed on the map side, so a
     line of every document is no hot key; the join back is one that adaptive
     execution splits.
     """
-    each = line_rows(docs, text, host).groupBy("host_", "doc_", "line_").agg(F.sum("words_").alias("words_"))
-    each = written(each, "lines")
-    often = each.groupBy("host_", "line_").agg(F.count("*").alias("n_"), F.min("doc_").alias("first_")).where(F.col("n_") > max_documents)
+    each = written(line_rows(docs, text, host).groupBy("host_", "doc_", "line_").agg(F.min("id_").alias("id_")), "lines")
+    often = each.groupBy("host_", "line_").agg(F.count("*").alias("n_"), F.min("id_").alias("first_")).where(F.col("n_") > max_documents)
     often = often.select(F.col("host_").alias("h_"), F.col("line_").alias("l_"), "first_")
-    return each.join(often, F.col("host_").eqNullSafe(F.col("h_")) & (F.col("line_") == F.col("l_")) & (F.col("doc_") != F.col("first_"))).select("host_", "doc_", "line_", "words_")
+    return each.join(often, F.col("host_").eqNullSafe(F.col("h_")) & (F.col("line_") == F.col("l_")) & ~(F.col("id_") == F.col("first_")).eqNullSafe(True)).select("host_", "doc_", "line_")
 
 
 def judged(docs: DataFrame, *, max_documents: int = 25, least_left: float = 0.3, text: str = "text", host: str = "source", cleaned: bool = False) -> DataFrame:
-    """docs with the statistics, lines_words_removed, kept and, where cleaned is set, clean_text.
+    """docs with the statistics, n_removed_words, kept and, where cleaned is set, clean_text.
 
     max_documents: distinct texts of a host that may hold a line before it is
     removed from all but its first text. A document is rejected if base_failed,
     or if less than least_left of its words stay. Null hosts form one host.
     Rows may repeat: equal rows get equal results. An empty table gives none.
     """
+    k1, k2, h, d, gone = spare(docs, "k1_", "k2_", "host_", "doc_", "gone_")
     lines = frequent_lines(docs, max_documents, text, host)
-    per = lines.groupBy("host_", "doc_").agg(F.sum("words_").alias("removed_"), *([F.collect_set("line_").alias("gone_")] if cleaned else []))
-    stats = statistics(docs, text).withColumns({"k1_": F.col(host), "k2_": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    out = stats.join(per, F.col("k1_").eqNullSafe(F.col("host_")) & (F.col("k2_") == F.col("doc_")), "left")
-    out = out.withColumn("n_removed_words", F.coalesce(F.col("removed_"), F.lit(0)).cast("long"))
+    per = lines.groupBy(F.col("host_").alias(h), F.col("doc_").alias(d)).agg(F.collect_list("line_").alias(gone))
+    out = statistics(docs, text).withColumns({k1: F.col(host), k2: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    out = out.join(per, F.col(k1).eqNullSafe(F.col(h)) & (F.col(k2) == F.col(d)), "left")
+    body, removed = F.coalesce(F.col(text), F.lit("")), F.col(gone)
+    dropped = F.filter(F.split(body, "\n"), lambda x: F.array_contains(removed, F.xxhash64(normal_line(x))))
+    words = F.aggregate(dropped, F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(normal_line(x), " ")))
+    out = out.withColumn("n_removed_words", F.when(F.col(gone).isNull(), F.lit(0).cast("long")).otherwise(words))
     out = out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("n_removed_words")) >= least_left * F.col("n_words")))
     if cleaned:
-        rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("gone_"), F.xxhash64(normal_line(x)))), "\n")
-        out = out.withColumn("clean_text", F.when(F.col("gone_").isNull(), F.col(text)).otherwise(rest))
-    return out.drop("k1_", "k2_", "host_", "doc_", "removed_", "gone_")
+        rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(removed, F.xxhash64(normal_line(x)))), "\n")
+        out = out.withColumn("clean_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest))
+    return out.drop(k1, k2, h, d, gone)

@@ -20,6 +20,7 @@ WEAK = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}
 ENDPOINT = r"(?i:\b(?:https?|ftp|jdbc:[a-z]{2,16}|mongodb|redis|postgres(?:ql)?|mysql|amqps?|s3)://)[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?"
 #: Kinds as listed: what starts at the same place is ordered so.
 KINDS = ("assign", "access", "hex", "linked")
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Code points between parts that belong together, at most.
 SCOPE = 200
 
@@ -31,14 +32,12 @@ def spans(text: Column, pattern: str, name: str, least: int = 0, group: int = 0)
     give the places. Matches whose group is shorter than least are dropped.
     """
     order = KINDS.index(name) if name in KINDS else len(KINDS)
-    struct = "array<struct<start:int,rank:int,end:int,kind:string>>"
-
     def found(t: Column) -> Column:
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         own = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else hits
         each = F.arrays_zip(F.transform(F.split(t, pattern, -1), lambda x: F.length(x)).alias("gap"), F.transform(hits, lambda x: F.length(x)).alias("hit"), F.transform(own, lambda x: F.length(x)).alias("own"))
         # the last piece has no match after it
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(struct).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
         def step(a: Column, x: Column) -> Column:
             begin = a["at"] + x["gap"]
@@ -48,7 +47,7 @@ def spans(text: Column, pattern: str, name: str, least: int = 0, group: int = 0)
 
         return F.aggregate(each, start, step, lambda a: a["out"])
 
-    return F.when(text.rlike(pattern), found(text)).otherwise(F.array().cast(struct))
+    return F.when(text.rlike(pattern), found(text)).otherwise(F.array().cast(SPANS))
 
 
 def joined(array: Column) -> Column:
@@ -84,20 +83,20 @@ def scanned(docs: DataFrame, *, scope: int = SCOPE, text: str = "text", redacted
     where it overlaps a base span. Null texts are empty, equal rows get equal
     results, an empty table gives none.
     """
-    key, base, parts = spare(docs, "key_", "base_", "parts_")
+    key, base, parts, other, found = spare(docs, "key_", "base_", "parts_", "more_key_", "linked_")
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({key: F.xxhash64(t), base: F.concat(spans(t, ASSIGN, "assign", 6, 2), spans(t, ACCESS, "access"), spans(t, HEX, "hex"))})
     weak = out.where(t.rlike(WEAK) & t.rlike(ENDPOINT)).dropDuplicates([key])
     free = lambda b: F.filter(spans(t, WEAK, "weak"), lambda w: ~F.exists(b, lambda x: (x["start"] < w["end"]) & (x["end"] > w["start"])))
     weak = weak.select(key, F.concat(free(F.col(base)), F.filter(F.col(base), lambda x: x["kind"] == "access"), spans(t, IDENTIFIER, "identifier"), spans(t, ENDPOINT, "endpoint")).alias(parts))
-    more = linked(weak, key, parts, scope).withColumnRenamed(key, "more_key_")
-    out = out.join(more, F.col(key) == F.col("more_key_"), "left").drop("more_key_")
+    more = linked(weak, key, parts, scope).toDF(other, found)
+    out = out.join(more, F.col(key) == F.col(other), "left").drop(other)
     n = lambda kind: F.size(F.filter(F.col(base), lambda s: s["kind"] == kind)).cast("long")
-    every = F.concat(F.col(base), F.coalesce(F.col("linked_"), F.array().cast(docs.sparkSession.range(0).select(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("x")).schema["x"].dataType)))
-    out = out.withColumns({"n_assign": n("assign"), "n_access": n("access"), "n_hex": n("hex"), "n_linked": F.coalesce(F.size("linked_"), F.lit(0)).cast("long"), "base_sha256": F.sha2(joined(F.col(base)), 256), "spans": joined(every)})
+    every = F.concat(F.col(base), F.coalesce(F.col(found), F.array().cast(SPANS)))
+    out = out.withColumns({"n_assign": n("assign"), "n_access": n("access"), "n_hex": n("hex"), "n_linked": F.coalesce(F.size(found), F.lit(0)).cast("long"), "base_sha256": F.sha2(joined(F.col(base)), 256), "spans": joined(every)})
     if redacted:
         out = out.withColumn("safe_text", F.when(F.size(every) > 0, redact(F.col(text), every)).otherwise(F.col(text)))
-    return out.drop(key, base, "linked_")
+    return out.drop(key, base, found)
 
 
 def redact(text: Column, every: Column) -> Column:
