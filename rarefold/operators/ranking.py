@@ -20,6 +20,14 @@ def two_level_mean(df: DataFrame, value: str = "value") -> DataFrame:
     return per.groupBy("algorithm").agg(F.avg("m").alias(value), F.count("*").alias("n_datasets"))
 
 
+def covered(df: DataFrame, other: DataFrame, least: int) -> DataFrame:
+    """algorithm, value and delta: the two-level mean over datasets that have at least so many rows in other, and less that over all."""
+    some = other.groupBy("dataset").agg(F.count("*").alias("n_")).where(F.col("n_") >= least)
+    whole = two_level_mean(df).select("algorithm", F.col("value").alias("all_"))
+    part = two_level_mean(df.join(some, "dataset", "left_semi")).select("algorithm", "value")
+    return part.join(whole, "algorithm").select("algorithm", "value", (F.col("value") - F.col("all_")).alias("delta"))
+
+
 def pivoted(df: DataFrame, algorithms: Sequence[str], complete: bool = False) -> DataFrame:
     """A column per named algorithm (G8); complete drops datasets that lack one."""
     out = df.groupBy("dataset").pivot("algorithm", list(algorithms)).agg(F.avg("value"))

@@ -115,7 +115,19 @@ MULTI = """WITH e0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x:
 ONE_RUN = "k AS (SELECT 0 AS run, label, greatest(1.0::DOUBLE, n / md) AS k, least(least(greatest(ceil(greatest(1.0::DOUBLE, n / md))::BIGINT * 5 + 5, 5), 500), n) AS fetch FROM n, (SELECT greatest(1.0::DOUBLE, median(n)::DOUBLE) AS md FROM n))"
 ALL_RUNS = "k AS (SELECT x.label AS run, n.label, greatest(1.0::DOUBLE, n.n / x.md) AS k, n.n AS fetch FROM n, (SELECT a.label, greatest(1.0::DOUBLE, median(b.n)::DOUBLE) AS md FROM n a JOIN n b ON a.label <> b.label GROUP BY a.label) x WHERE x.label <> n.label)"
 
+# The steps 19, 9, 3, 1 are those of 400 training rows, as the smaller tables have.
+ENTROPY = f"""WITH {E}, n AS (SELECT q.id, q.label AS y, t.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS rk FROM q, t), g AS (SELECT unnest([19, 9, 3, 1]) AS k),
+    c AS (SELECT id, k, label, count(*)::DOUBLE / k + 1e-9::DOUBLE AS p FROM n JOIN g ON rk <= k GROUP BY id, k, label),
+    z AS (SELECT id, k, p / sum(p) OVER (PARTITION BY id, k) AS p FROM c), h AS (SELECT id, k, -sum(p * log2(p)) AS h FROM z GROUP BY id, k),
+    w AS (SELECT id, max(h) FILTER (k = 19) AS a, max(h) FILTER (k = 9) AS b, max(h) FILTER (k = 3) AS c, max(h) FILTER (k = 1) AS d FROM h GROUP BY id),
+    b AS (SELECT id, CASE WHEN NOT b > a THEN 19 WHEN NOT c > b THEN 9 WHEN NOT d > c THEN 3 ELSE 1 END AS k FROM w),
+    v AS (SELECT n.id, n.y, b.k, label, count(*) AS m, min(rk) AS f FROM n JOIN b ON n.id = b.id AND rk <= b.k GROUP BY ALL)
+    SELECT id, y, arg_min(label, (-m, f)) AS y_pred, max(m)::DOUBLE / any_value(k) AS p, any_value(k)::INTEGER AS k FROM v GROUP BY id, y"""
+
 ORACLES = {
+    "a1_knn_entropy": ENTROPY,
+    "j1_knn_any_distance": f"{NEAR5}, c AS (SELECT qid, qy, y, count(*) AS n, min(rk) AS first FROM k GROUP BY ALL) SELECT qid AS id, qy AS y, arg_min(y, (-n, first)) AS y_pred, max(n) / 5.0::DOUBLE AS p FROM c GROUP BY ALL",
+    "h5_separated": f"WITH {RESULTS}, {RANKS}, m AS (SELECT avg(rank) AS a FROM k GROUP BY algorithm), t AS (SELECT a FROM m ORDER BY a LIMIT 2), c AS (SELECT 2.728::DOUBLE * sqrt(5 * 6 / (6.0::DOUBLE * count(DISTINCT dataset))) AS cd FROM r) SELECT round((SELECT max(a) - min(a) FROM t), 9) AS gap, round(cd, 9) AS cd, (SELECT max(a) - min(a) FROM t) > cd AS separated FROM c",
     "k2_knn_majority": f"{NEAR5}, c AS (SELECT qid, qy, y, count(*) AS n, min(rk) AS first FROM k GROUP BY ALL) SELECT qid AS id, qy AS y, arg_min(y, (-n, first)) AS y_pred, max(n) / 5.0::DOUBLE AS p FROM c GROUP BY ALL",
     "k5_knn_weighted": f"{NEAR5}, w AS (SELECT y, (SELECT count(*) FROM t)::DOUBLE / (2 * count(*)) AS w FROM t GROUP BY y), c AS (SELECT qid, qy, y, round(count(*) * any_value(w), 9) AS s FROM k JOIN w USING (y) GROUP BY ALL) SELECT qid AS id, qy AS y, arg_min(y, (-s, y)) AS y_pred, round(max(s) / sum(s), 9) AS p FROM c GROUP BY ALL",
     "k4_knn_best_k": f"""WITH {E}, {FOLDS}, d AS (SELECT x.id AS qid, x.y AS qy, x.fold, z.y, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk FROM tf x JOIN tf z ON x.fold <> z.fold),
@@ -179,6 +191,10 @@ ORACLES = {
     "g5_metrics_null": scored(NULL, "coalesce(CASE WHEN {1} = 0 THEN 0 ELSE {0} / {1} END, 0)"),
     "g5b_metrics_zero": scored(ZERO, "(CASE WHEN {1} = 0 THEN 0 ELSE {0} / {1} END)"),
     "g5c_metrics_eps": scored("({0} / ({1} + 1e-9::DOUBLE))", "({0} / ({1} + 1e-9::DOUBLE))"),
+    "g6_means": "WITH g AS (SELECT l_linestatus AS status, l_returnflag AS flag, round(avg(l_discount), 7) AS mean, count(*) AS n FROM lineitem GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY n DESC, status, flag)::INTEGER AS place FROM g",
+    "g10_counts": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
+    "z11_covered": "WITH p AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL), s AS (SELECT user_id FROM events GROUP BY user_id HAVING count(*) >= 10), a AS (SELECT event_type, avg(m) AS a FROM p GROUP BY event_type), b AS (SELECT event_type, avg(m) AS b FROM p SEMI JOIN s USING (user_id) GROUP BY event_type) SELECT event_type AS algorithm, round(b, 7) AS value, round(b - a, 7) AS delta FROM a JOIN b USING (event_type)",
+    "w7_rank_ratios": f"{BASE}, g AS (SELECT unnest(range(1, 6)) AS i) SELECT i::INTEGER AS rank, round(avg(dmin[i] / dmaj[i]), 7) AS ratio FROM a, g GROUP BY i",
     "g7_two_level_mean": "WITH p AS (SELECT user_id AS dataset, event_type AS algorithm, avg(value) AS m FROM events GROUP BY ALL) SELECT algorithm, round(avg(m), 7) AS value, count(*) AS n_datasets FROM p GROUP BY algorithm",
     "g8_pivot": f"WITH {RESULTS} SELECT dataset, " + ", ".join(f"round(avg(value) FILTER (algorithm = '{a}'), 6) AS \"{a}\"" for a in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM r GROUP BY dataset",
     "g9_rates": f"WITH {LINES} SELECT algorithm, round(avg(tp::DOUBLE / nullif(tp + fn, 0)), 9) AS tpr, round(avg(tn::DOUBLE / nullif(tn + fp, 0)), 9) AS tnr, round(avg(fp::DOUBLE / nullif(fp + tn, 0)), 9) AS fpr, round(avg(fn::DOUBLE / nullif(fn + tp, 0)), 9) AS fnr FROM c GROUP BY algorithm",

@@ -402,6 +402,34 @@ def h8_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("algorithm", ranking.wilson(F.col("w"), F.col("n")).alias("c")).select("algorithm", "c.lower", "c.upper"))
 
 
+@query
+def g6_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    own = load(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag")).agg(F.avg("l_discount").alias("mean"), F.count("*").alias("n"))
+    return rounded(own.withColumn("place", F.row_number().over(W.orderBy(F.col("n").desc(), "status", "flag"))), 7)
+
+
+@query
+def g10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query
+def z11_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level means of the datasets with ten rows at least, and how they differ from those of all."""
+    own = load(spark, sf_dir, "events").select(F.col("user_id").alias("dataset"), F.col("event_type").alias("algorithm"), "value")
+    return rounded(ranking.covered(own, own, 10), 7)
+
+
+@query
+def w7_rank_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio of distances of equal ranks, averaged over queries."""
+    q, t = vectors(spark, sf_dir)
+    own = class_lists(q, t, 5, 5).select(F.posexplode(F.arrays_zip("dmin", "dmaj")).alias("rank", "d"))
+    return rounded(own.groupBy((F.col("rank") + 1).alias("rank")).agg(F.avg(F.col("d.dmin") / F.col("d.dmaj")).alias("ratio")), 7)
+
+
 # features of tables
 
 
