@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAFE = ("recall", "precision", "specificity")
 
 
 def confusion(df: DataFrame, by: list[str], y: str = "y", y_pred: str = "y_pred") -> DataFrame:

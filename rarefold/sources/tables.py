@@ -12,7 +12,7 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.utils import AnalysisException
 
 # Names that a target column may have, in order of preference.
-TARGETS = ("binaryClass", "class", "Class", "target", "label", "Label", "outcome", "y")
+TARGETS = ("binaryClass", "class", "Class", "target", "label", "c", "defects", "DL", "Urban", "Damaged", "Laid.off", "col_33", "class14")
 
 
 @dataclass(frozen=True)
