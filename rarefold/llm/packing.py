@@ -49,13 +49,12 @@ class WordIds:
         new = list({w for words in split for w in words if w not in self.words})
         got = self.encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False) if new else []
         fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got, strict=True)}
-        if len(self.words) + len(fresh) <= self.kept:
-            self.words.update(fresh)
-            look = self.words.__getitem__
-        else:
-            look = lambda w: self.words.get(w) or fresh[w] if w in self.words or w in fresh else b""
+        known = self.words
+        if len(known) + len(fresh) <= self.kept:
+            known.update(fresh)
+            fresh = {}
         for words in split:
-            yield b"".join(map(look, words))
+            yield b"".join([known[w] if w in known else fresh[w] for w in words])
 
 
 _encoders: dict[str, WordIds] = {}
