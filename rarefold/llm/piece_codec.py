@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from rarefold.llm.common import spare, utf8
 
 SPACE = "▁"
-VARIANTS = 2
-#: Parts whose ids a worker keeps, of each way and twice over.
-KEPT = 250_000
+#: Ways of parts that a worker keeps.
+KEPT = 400_000
 MASK = (1 << 64) - 1
-#: Parts of over so many characters take the agenda that is a heap.
+#: Parts of over so many characters take the agenda that is a heap, and are not kept.
 LONG, NEVER = 48, float("inf")
+M1, M2, M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F
 #: A run of spaces and what follows up to the next: no piece of the vocabulary reaches over such a border.
 PART = re.compile(f"{SPACE}*[^{SPACE}]*")
 
@@ -33,6 +33,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Way:
+    """A part's merges with some skipped: codes are those met since the last skip, ids the result where no more are skipped, next the ways by which of codes is skipped first."""
+
+    __slots__ = ("part", "codes", "ids", "depth", "next")
+
+    def __init__(self, part: str, codes: bytes, ids: bytes, depth: int) -> None:
+        self.part, self.codes, self.ids, self.depth, self.next = part, codes, ids, depth, {}
+
+
 class Codec:
     """Merge-type pieces of a model file, whose spaces stand at the front of pieces.
 
@@ -58,30 +67,37 @@ class Codec:
         if any(SPACE in x.lstrip(SPACE) for x in self.number):
             raise ValueError("a piece has a space inside")
         self.limit, self.seed = int(rate * 2**32), seed
-        self.known: list[dict[str | None, bytes]] = [{} for _ in range(VARIANTS)]
-        self.older: list[dict[str | None, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def key(self, part: str, variant: int | None) -> int:
-        """What the hashes of a part's merges start from; negative: none is skipped."""
-        return -1 if variant is None else xxhash.xxh3_64_intdigest(part, self.seed * 1000003 + variant)
-
-    def skipped(self, key: int, at: int, both: str) -> bool:
-        x = (key ^ (at << 20 | self.number[both])) * 0x9E3779B97F4A7C15 & MASK
-        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & MASK) >> 32 < self.limit
-
-    def merged(self, part: str, variant: int | None) -> list[str]:
-        """Symbols of a part after all merges, best score first and leftmost among equals; with a variant, some are skipped."""
-        key = self.key(part, variant)
+        self.known: dict[str | None, Way] = {}
+        self.ways = 0
+
+    def skipped(self, key: int, code: int) -> bool:
+        """Whether the occurrence with this key leaves out a merge; code has its place in the part and its piece."""
+        x = (key ^ code) * M1 & MASK
+        x = (x ^ x >> 29) * M2 & MASK
+        return (x ^ x >> 32) * M3 >> 32 & 0xFFFFFFFF < self.limit
+
+    def all_skipped(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The same of arrays."""
+        x = (keys ^ codes) * np.uint64(M1)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(M2)
+        return (x ^ x >> np.uint64(32)) * np.uint64(M3) >> np.uint64(32) < self.limit
+
+    def merged(self, part: str, key: int) -> tuple[list[str], list[int], list[int]]:
+        """Symbols of a part after all merges, best score first and leftmost among equals; the merges met, and which of them were skipped. A negative key skips none."""
         return self.merged_long(part, key) if len(part) > LONG else self.merged_short(part, key)
 
-    def merged_short(self, part: str, key: int) -> list[str]:
+    def merged_short(self, part: str, key: int) -> tuple[list[str], list[int], list[int]]:
         """The agenda as a list of the neighbours' scores."""
         symbol, place, of = list(part), list(range(len(part))), self.score.get
         agenda = [of(a + b, NEVER) for a, b in zip(symbol, symbol[1:])]  # noqa: B905
+        codes: list[int] = []
+        skips: list[int] = []
         while agenda and (best := min(agenda)) < NEVER:
             k = agenda.index(best)
             both = symbol[k] + symbol[k + 1]
-            if key >= 0 and self.skipped(key, place[k], both):
+            codes.append(code := place[k] << 20 | self.number[both])
+            if key >= 0 and self.skipped(key, code):
+                skips.append(len(codes) - 1)
                 agenda[k] = NEVER
                 continue
             symbol[k] = both
@@ -90,14 +106,16 @@ class Codec:
                 agenda[k - 1] = of(symbol[k - 1] + both, NEVER)
             if k < len(agenda):
                 agenda[k] = of(both + symbol[k + 1], NEVER)
-        return symbol
+        return symbol, codes, skips
 
-    def merged_long(self, part: str, key: int) -> list[str]:
+    def merged_long(self, part: str, key: int) -> tuple[list[str], list[int], list[int]]:
         """The agenda as a heap, in time n log n."""
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         symbol: list[str | None] = list(part)
         n, agenda = len(part), []
         score = self.score
+        codes: list[int] = []
+        skips: list[int] = []
 
         def offer(i: int) -> None:
             j = right[i]
@@ -113,7 +131,9 @@ class Codec:
             j = right[i] if symbol[i] is not None else n
             if j >= n or symbol[j] is None or symbol[i] + symbol[j] != both:
                 continue
-            if key >= 0 and self.skipped(key, i, both):
+            codes.append(code := i << 20 | self.number[both])
+            if key >= 0 and self.skipped(key, code):
+                skips.append(len(codes) - 1)
                 continue
             symbol[i], symbol[j] = both, None
             right[i] = right[j]
@@ -126,26 +146,30 @@ class Codec:
         while i < n:
             out.append(symbol[i] or "")
             i = right[i]
-        return out
+        return out, codes, skips
 
-    def part(self, part: str | None, variant: int | None) -> bytes:
-        """Ids of a part, little-endian and of 32 bits."""
+    def packed(self, symbols: list[str]) -> bytes:
+        """Ids of symbols, little-endian and of 32 bits."""
         ids: list[int] = []
-        for s in [SPACE] if part is None else self.merged(part, variant):
-            k = self.number.get(s) if part is not None else None
+        for s in symbols:
+            k = self.number.get(s)
             ids += [self.byte[b] for b in s.encode("utf-8", "replace")] if k is None else [k]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def kept(self, part: str | None, variant: int) -> bytes:
-        """The same, of parts in use from memory."""
-        known = self.known[variant]
-        found = known.get(part)
-        if found is None:
-            found = self.older[variant].get(part) or self.part(part, variant)
-            if len(known) >= KEPT:
-                self.older[variant] = known
-                known = self.known[variant] = {}
-            known[part] = found
+    def sign(self) -> bytes:
+        """Ids of a SPACE sign of the text itself."""
+        return struct.pack("<3I", *[self.byte[b] for b in SPACE.encode()])
+
+    def way(self, part: str, key: int, ways: dict, name: str | int, depth: int) -> Way:
+        """The part's way under key. It is kept in ways, by name, if it skips just depth merges, as those who ask for that name know."""
+        symbols, codes, skips = self.merged(part, key)
+        ids = self.packed(symbols)
+        if len(skips) != depth or len(part) > LONG:
+            return Way(part, b"", ids, depth)
+        rest = codes[skips[-1] + 1 :] if skips else codes
+        found = Way(part, struct.pack(f"<{len(rest)}Q", *rest), ids, depth)
+        ways[name] = found
+        self.ways += 1
         return found
 
     def parts(self, text: str) -> list[str | None]:
@@ -157,14 +181,52 @@ class Codec:
         return out
 
     def encode(self, text: str, key: int | None = None) -> bytes:
-        """Without a key, no merge is skipped, and the library does it; with one, each part takes one of VARIANTS ways, by key and place."""
+        """Without a key, no merge is skipped, and the library does it; with one, each merge of each part of the text is skipped by key, place of the part and merge.
+
+        A kept way has the merges that it met since its last skip. Where none of
+        them is skipped under a part's key, its ids are the part's; else the first
+        that is leads to another way.
+        """
         if key is None and SPACE not in text:
             return np.array(self.library.encode(text), "<u4").tobytes()
         parts = self.parts(text)
         if key is None:
-            return b"".join([self.part(x, None) for x in parts])
-        ways = (np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return b"".join(map(self.kept, parts, ((ways >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()))
+            return b"".join([self.sign() if x is None else self.packed(self.merged(x, -1)[0]) for x in parts])
+        if self.ways > KEPT:
+            self.known, self.ways = {}, 0
+        keys = np.arange(len(parts), dtype=np.uint64) * np.uint64(M1) + np.uint64(key)
+        keys = (keys ^ keys >> np.uint64(31)) * np.uint64(M3)
+        keys ^= keys >> np.uint64(33)
+        known = self.known
+        if None not in known:
+            known[None] = Way("", b"", self.sign(), 0)
+        ways, own = [known.get(x) for x in parts], keys.tolist()
+        live = []
+        for i, w in enumerate(ways):
+            if w is None and (w := known.get(parts[i])) is None:
+                ways[i] = self.way(parts[i], own[i], known, parts[i], 0)
+            else:
+                ways[i] = w
+                live.append(i)
+        while live:
+            codes = [ways[i].codes for i in live]
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 3
+            owner = np.repeat(np.arange(len(live)), sizes)
+            hit = np.flatnonzero(self.all_skipped(keys[live][owner], np.frombuffer(b"".join(codes), "<u8")))
+            who, first = np.unique(owner[hit], return_index=True)
+            at = hit[first] - (sizes.cumsum() - sizes)[who]
+            after = []
+            for w, j in zip(who.tolist(), at.tolist(), strict=True):
+                i = live[w]
+                way = ways[i]
+                found = way.next.get(j)
+                if found is None:
+                    ways[i] = self.way(way.part, own[i], way.next, j, way.depth + 1)
+                else:
+                    ways[i] = found
+                    after.append(i)
+            live = after
+        return b"".join([w.ids for w in ways])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids."""

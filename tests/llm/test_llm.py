@@ -397,6 +397,27 @@ def test_piece_codec(docs, empty):
     assert len({codec.encode("internationalisation", k) for k in range(40)}) > 1
 
 
+def test_piece_dropout_is_drawn_per_occurrence():
+    codec = piece_codec.Codec(piece_codec.default_model(), 0.1, 7)
+    rnd = random.Random(4)
+    words = ["the", "of", "and", "to", "in", "internationalisation", "über", "🙂▁x", "z" * 60]
+    ways = collections.defaultdict(set)
+    for k in range(500):
+        key, text = rnd.getrandbits(64), " ".join(rnd.choices(words, k=9))
+        got = codec.encode(text, key)
+        fresh = piece_codec.Codec.__new__(piece_codec.Codec)
+        fresh.__dict__ = codec.__dict__ | {"known": {}, "ways": 0}
+        assert got == fresh.encode(text, key) and codec.decode(got) == text
+        ways[codec.encode("the", key)].add(k)
+        if k < 100:
+            alone = [codec.encode("internationalisation " * 3, key)]
+            ids = np.frombuffer(alone[0], "<u4").tolist()
+            ways["places"].add(len(ids))
+    assert len(ways) - 1 > 2 and len(ways["places"]) > 2
+    x = np.array([rnd.getrandbits(64) for _ in range(999)], np.uint64)
+    assert codec.all_skipped(x, x[::-1]).tolist() == [codec.skipped(int(a), int(b)) for a, b in zip(x, x[::-1], strict=True)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
