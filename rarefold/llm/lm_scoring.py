@@ -27,11 +27,16 @@ from rarefold.llm.quality_classifier import remainder
 
 STRIDE, WIDTH, CLASSES, LEAVES, INPUTS = 16, 16, 32, 32, 1024
 SLOTS, OWN = CLASSES * LEAVES, CLASSES * LEAVES - 16
-#: Training documents whose texts the model's weights are fitted to, at most; all counts cover every document.
-SAMPLE = 256
+#: Documents that the first weights are fitted to, as a start that all tasks share; training itself goes over all documents outside the fold.
+START = 256
+#: Times that tasks' weights are averaged, and ids that are learnt from at least: small corpora are gone over more than once.
+ROUNDS, LEAST = 4, 1500 * 256 * STRIDE
 BLOCK_BYTES = 12 << 20
 ROWS = 256
 END = 0
+#: Ids that are laid out for training at a time, groups of sums, and the first round's rate.
+GROUP, FAN, RATE = 1 << 18, 16, 0.01
+SUMS = "fan int, total binary, weight binary"
 
 
 class Slots:
@@ -69,6 +74,24 @@ FAR = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]  # ho
 MASK = np.where(FAR >= 0, 0.0, -1e9).astype(np.float32)
 
 
+class Adam:
+    """Steps of parameters p, in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.p, self.t = p, 0
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.v = {k: np.zeros_like(w) for k, w in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        p, m, v = self.p, self.m, self.v
+        lr = rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
+            p[k] -= (lr * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+
+
 class Attention:
     """One layer: embeddings, causal attention with a bias by distance, a rectified layer, both added up; then classes, and slots in each.
 
@@ -178,19 +201,14 @@ class Attention:
 
     def fit(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray, good: np.ndarray, steps: int = 1500, rows: int = 256, rate: float = 0.02) -> Attention:
         """Adam over runs of rows, in an order that a seed fixes."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(w) for k, w in self.p.items()}
+        adam = Adam(self.p)
         rng = np.random.default_rng(2)
         for t in range(1, steps + 1):
             at = int(rng.integers(0, max(1, len(x) - rows + 1)))
             own = slice(at, at + rows)
             prev = np.where(before[own] >= at, before[own] - at, -1)
             _, g = self.gradient(x[own], prev, slot[own], good[own])
-            lr = rate * (1 - t / (steps + 1)) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            for k in self.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
-                self.p[k] -= (lr * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+            adam.step(g, rate * (1 - t / (steps + 1)))
         return self
 
 
@@ -230,6 +248,92 @@ def scores(texts: list[np.ndarray], slots: Slots, model: Attention) -> np.ndarra
     return out
 
 
+def learnt(groups: Iterator[list[np.ndarray]], slots: Slots, model: Attention, rate: float, repeats: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The model's parameters after Adam over all texts, times their weights, and these weights: an input's is how often it occurs, a class's how often it follows, others' the number of ids. None without texts.
+
+    So a task that has not met an input or a class has no say in its average.
+    """
+    p = {k: v.copy() for k, v in model.p.items()}
+    own = Attention.__new__(Attention)
+    own.p, adam, rng = p, Adam(p), np.random.default_rng(2)
+    inputs, classes = np.zeros(INPUTS), np.zeros(CLASSES)
+    for texts in groups:
+        x, before, follow, here, _ = laid_out(texts, slots)
+        slot = slots.slot[follow]
+        inputs += np.bincount(x[here], minlength=INPUTS)
+        classes += np.bincount(slot[here] // LEAVES, minlength=CLASSES)
+        for _ in range(repeats):
+            for at in (rng.permutation(-(-len(x) // ROWS)) * ROWS).tolist():
+                part = slice(at, at + ROWS)
+                prev = np.where(before[part] >= at, before[part] - at, -1)
+                adam.step(own.gradient(x[part], prev, slot[part], here[part])[1], rate)
+    if not inputs.sum():
+        return None
+    weight = {k: np.full(v.shape, inputs.sum()) for k, v in p.items()}
+    weight["E"][:] = inputs[:, None]
+    weight["W2"][:] = classes[:, None, None]
+    weight["b2"][:] = classes[:, None]
+    w = np.concatenate([weight[k].ravel() for k in p])
+    return w * np.concatenate([v.ravel() for v in p.values()]), w
+
+
+def averaged(model: Attention, total: np.ndarray, weight: np.ndarray) -> Attention:
+    """The model with parameters total / weight, its own where nothing was learnt."""
+    at = 0
+    for k, v in model.p.items():
+        t, w = (x[at : at + v.size].reshape(v.shape) for x in (total, weight))
+        model.p[k] = np.where(w > 0, t / np.maximum(w, 1), v).astype(np.float32)
+        at += v.size
+    return model
+
+
+def trained(docs: DataFrame, path: str, slots: Slots, model: Attention, n_ids: int) -> Attention:
+    """The model after ROUNDS of training over docs (bytes_), every one of them: in a round, each task learns from its part of the round's documents, and the driver gets the sums.
+
+    Documents are dealt to the rounds by hash; those of a corpus of under LEAST
+    ids take part in all rounds. Sums are made in FAN groups first.
+    """
+    passes = -(-LEAST // max(1, n_ids))
+    sent = docs.sparkSession.sparkContext.broadcast(slots)
+    deal = F.pmod(F.xxhash64("bytes_"), F.lit(1 if passes > 1 else ROUNDS))
+    repeats = -(-passes // ROUNDS)
+
+    def one(r: int, start: dict[str, np.ndarray]):  # noqa: ANN202
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            encode = encoder(path)
+
+            def groups() -> Iterator[list[np.ndarray]]:
+                held, size = [], 0
+                for batch in batches:
+                    for low in range(0, len(batch), 64):
+                        for ids in encode([b.lower() for b in batch["bytes_"].iloc[low : low + 64]]):
+                            held.append(np.frombuffer(ids, "<u4"))
+                            size += len(ids) // 4 + STRIDE
+                        if size >= GROUP:
+                            yield held
+                            held, size = [], 0
+                if held:
+                    yield held
+
+            own = Attention.__new__(Attention)
+            own.p = start
+            got = learnt(groups(), sent.value, own, RATE * (1 - r / ROUNDS), repeats)
+            if got:
+                yield pd.DataFrame({"fan": [TaskContext.get().partitionId() % FAN], "total": [got[0].tobytes()], "weight": [got[1].tobytes()]})
+
+        return each
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fan": part["fan"].iloc[:1], **{c: [sum(np.frombuffer(x) for x in part[c]).tobytes()] for c in ("total", "weight")}})
+
+    for r in range(ROUNDS):
+        own = docs if passes > 1 else docs.where(deal == r)
+        got = own.select("bytes_").mapInPandas(one(r, model.p), SUMS).groupBy("fan").applyInPandas(summed, SUMS).orderBy("fan").collect()
+        if got:
+            model = averaged(model, *(sum(np.frombuffer(row[c]) for row in got) for c in ("total", "weight")))
+    return model
+
+
 PARTS = "block long, doc_id long, held_out boolean, bytes_ binary, word long, n long"
 
 
@@ -295,7 +399,8 @@ def scored(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None)
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out of all counts
     and training. A null text is empty, and has its end alone; rows may repeat;
-    without training documents the model keeps its first weights. Words' counts
+    without training documents the model keeps its first weights, else it is
+    trained on all of them. Words' counts
     travel by block of documents: a block asks for its own distinct words only.
     """
     from tokenizers import Tokenizer
@@ -313,11 +418,12 @@ def scored(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None)
         seen[k] = c
     slots = Slots(seen)
     model = Attention(slots.weight)
-    chosen = table.where("bytes_ is not null and not held_out").orderBy(F.xxhash64("doc_id"), F.xxhash64("bytes_")).limit(SAMPLE).select("bytes_")
+    own = table.where("bytes_ is not null and not held_out")
+    chosen = own.orderBy(F.xxhash64("doc_id"), F.xxhash64("bytes_")).limit(START).select("bytes_")
     sample = [np.frombuffer(b, "<u4") for b in encoder(path)([r[0].lower() for r in chosen.collect()])]
     if sample:
         x, before, follow, here, _ = laid_out(sample, slots)
-        model.fit(x, before, slots.slot[follow], here)
+        model = trained(own, path, slots, model.fit(x, before, slots.slot[follow], here, steps=400), int(seen.sum()))
     sent = spark.sparkContext.broadcast((slots, model))
 
     def each(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -300,6 +300,21 @@ def test_lm_gradient_and_training():
     assert model.gradient(x, before, slots.slot[follow], here)[0] < first / 3
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """A text that only documents beyond any first few hundred hold is learnt, and known where it is held out."""
+    monkeypatch.setattr(lm_scoring, "LEAST", 200 * 256 * 16, raising=False)
+    order = [r["id"] for r in spark.range(420).orderBy(F.xxhash64("id")).collect()]
+    held = lambda i: zlib.crc32(b"%d" % i) % 7 == 2
+    late = [i for i in order if not held(i)][-40:]
+    asked = next(i for i in order if held(i))
+    rnd = random.Random(8)
+    other = lambda: " ".join(rnd.choices(["sun", "moon", "river", "stone", "cloud", "tree"], k=60))
+    cycle = "one house under four green hills near some old town " * 6
+    data = [(i, cycle if i in late or i == asked else other(), "en", "s", 1) for i in range(420)]
+    got = {r["doc_id"]: r for r in rows(lm_scoring.scored(spark.createDataFrame(data, DOCS).repartition(3)))}
+    assert got[asked]["held_out"] and got[asked]["score"] > 0.4 * got[asked]["base_score"]
+
+
 def test_warc(spark, empty):
     page = lambda i: "é" * 700 if i % 3 == 0 else "x" * 999 if i % 3 == 1 else f"<p>{i}\r\n\r\nWARC/1.1 {'z' * i * 50}"
     data = [(i, f"http://h/{i} \n" if i % 4 else None, page(i)) for i in range(30)] + [(30, "u", None), (31, "u", ""), (None, "u", "é" * 700)]
