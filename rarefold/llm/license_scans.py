@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ TEMPLATES = {
 CUE = re.compile(r"licen[sc]|permission is hereby granted|redistribut|free software|creative commons|released under", re.I)
 WORD = re.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9]")
 SCHEMA = "array<struct<license:string,start:int,end:int,wording:string,saved:int>>"
-#: Code points on either side of a cue that its block reaches, within the line. Cues nearer than that share a block.
+#: Code points on either side of a cue that its block reaches at least, over line ends, and further where the words of the longest notice do, as they do where lines are indented. Cues nearer than that share a block.
 REACH = 400
 
 
@@ -42,12 +43,16 @@ class Scanner:
                 own = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.each.append((name, [w.lower() for w in WORD.findall(text)], zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False)))
 
+        self.words = max((int(len(w) * (1 + tolerance)) for _, w, _ in self.each), default=0) + 1
+
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         low = high = -1
+        begins = [m.start() for m in WORD.finditer(text)] if CUE.search(text) else []
         for m in CUE.finditer(text):
-            a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - self.reach)
-            b = text.find("\n", m.end())
-            b = min(len(text) if b < 0 else b, m.end() + self.reach)
+            k = bisect.bisect_right(begins, m.start())
+            a = max(0, min(m.start() - self.reach, begins[max(0, k - self.words)] if k else 0))
+            k = bisect.bisect_left(begins, m.end()) + self.words
+            b = max(min(len(text), m.end() + self.reach), begins[k] if k < len(begins) else len(text))
             if low >= 0 and a < high:
                 high = max(high, b)
                 continue

@@ -395,6 +395,22 @@ def test_license_scans(spark, empty):
     assert license_scans.scanned(empty).count() == 0
 
 
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// ", " " * 60])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_license_notices_are_found_over_lines(prefix, end):
+    import textwrap
+
+    scan = license_scans.Scanner(license_scans.TEMPLATES, 0.1, license_scans.REACH)
+    for name in ("MIT", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Apache-2.0"):
+        notice = license_scans.TEMPLATES[name][1]
+        for width in (30, 80):
+            lines = [prefix + x for x in textwrap.wrap(notice, width, break_on_hyphens=False, break_long_words=False)]
+            text = end.join(["int main;", prefix, *lines, prefix, "other words " * 300])
+            got = scan(text)
+            assert [x["license"] for x in got] == [name] and got[0]["wording"] == ""
+            assert text[got[0]["start"] :].startswith(notice[:12]) and notice.rstrip(".").endswith(text[: got[0]["end"]].split()[-1])
+
+
 def test_piece_codec(docs, empty):
     import sentencepiece
 
