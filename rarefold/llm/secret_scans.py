@@ -15,8 +15,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Parts of credentials that are too weak alone: an identifier, a secret without a name, and where it is used.
-IDENTIFIER = r"""(?i:\b(?:user(?:name|id)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9_.@-]{3,64}"""
-WEAK = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
+IDENTIFIER = r"""(?i:(?<![A-Za-z0-9])(?:user(?:name|id)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9_.@-]{3,64}"""
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?i:\b(?:https?|ftp|jdbc:[a-z]{2,16}|mongodb|redis|postgres(?:ql)?|mysql|amqps?|s3)://)[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?"
 #: Kinds as listed: what starts at the same place is ordered so.
 KINDS = ("assign", "access", "hex", "linked")
@@ -55,7 +55,7 @@ def joined(array: Column) -> Column:
 
 
 def linked(docs: DataFrame, key: str, parts: str, scope: int) -> DataFrame:
-    """key and the spans of weak secrets (array) that have an identifier and an endpoint in scope, or either beside an access key.
+    """key and the spans of weak secrets (array) that have an access key in scope, or an identifier and an endpoint.
 
     An interval join on (key, block of scope code points): a weak secret meets
     only parts of its own and the next blocks. Spans of a kind don't overlap, so a
@@ -63,14 +63,14 @@ def linked(docs: DataFrame, key: str, parts: str, scope: int) -> DataFrame:
     """
     each = docs.select(key, F.explode(parts).alias("p")).select(key, "p.*")
     weak = each.where("kind = 'weak'").select(key, "start", "end")
-    near = each.where("kind <> 'weak'").select(F.col(key).alias("k_"), F.col("start").alias("s_"), F.col("end").alias("e_"), F.when(F.col("kind") == "endpoint", "endpoint").otherwise("identifier").alias("part_"))
+    near = each.where("kind <> 'weak'").select(F.col(key).alias("k_"), F.col("start").alias("s_"), F.col("end").alias("e_"), F.col("kind").alias("part_"))
     block = lambda c: F.floor(c / scope)
     near = near.withColumn("b_", F.explode(F.sequence(block(F.col("s_") - scope), block(F.col("e_") + scope))))
     weak = weak.withColumn("b", block(F.col("start")))
     on = (F.col(key) == F.col("k_")) & (F.col("b") == F.col("b_")) & (F.col("s_") <= F.col("end") + scope) & (F.col("e_") + scope >= F.col("start"))
-    met = weak.join(near, on).groupBy(key, "start", "end").agg(F.count_distinct("part_").alias("n"))
+    met = weak.join(near, on).groupBy(key, "start", "end").agg(*[F.max(F.col("part_") == x).alias(x) for x in ("access", "identifier", "endpoint")])
     one = F.struct(F.col("start"), F.lit(KINDS.index("linked")).alias("rank"), F.col("end"), F.lit("linked").alias("kind"))
-    return met.where("n = 2").groupBy(key).agg(F.collect_list(one).alias("linked_"))
+    return met.where("access or identifier and endpoint").groupBy(key).agg(F.collect_list(one).alias("linked_"))
 
 
 def scanned(docs: DataFrame, *, scope: int = SCOPE, text: str = "text", redacted: bool = False) -> DataFrame:
@@ -78,15 +78,15 @@ def scanned(docs: DataFrame, *, scope: int = SCOPE, text: str = "text", redacted
 
     spans: kind:start:end of all spans, by start, then kind, end exclusive, in
     code points. A weak secret (32 to 88 base64 letters of mixed kinds) counts,
-    as kind linked, only if an identifier (an access key or a named user, client
-    or account) and an endpoint both lie within scope code points; it is left out
+    as kind linked, only if an access key, or both an identifier (a named user,
+    client or account) and an endpoint, lie within scope code points; it is left out
     where it overlaps a base span. Null texts are empty, equal rows get equal
     results, an empty table gives none.
     """
     key, base, parts, other, found = spare(docs, "key_", "base_", "parts_", "more_key_", "linked_")
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({key: F.xxhash64(t), base: F.concat(spans(t, ASSIGN, "assign", 6, 2), spans(t, ACCESS, "access"), spans(t, HEX, "hex"))})
-    weak = out.where(t.rlike(WEAK) & t.rlike(ENDPOINT)).dropDuplicates([key])
+    weak = out.where(t.rlike(WEAK) & (t.rlike(ENDPOINT) | t.rlike(ACCESS))).dropDuplicates([key])
     free = lambda b: F.filter(spans(t, WEAK, "weak"), lambda w: ~F.exists(b, lambda x: (x["start"] < w["end"]) & (x["end"] > w["start"])))
     weak = weak.select(key, F.concat(free(F.col(base)), F.filter(F.col(base), lambda x: x["kind"] == "access"), spans(t, IDENTIFIER, "identifier"), spans(t, ENDPOINT, "endpoint")).alias(parts))
     more = linked(weak, key, parts, scope).toDF(other, found)

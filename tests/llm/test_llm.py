@@ -125,6 +125,24 @@ def test_secret_scans(spark, empty):
     assert secret_scans.scanned(empty).count() == 0
 
 
+def test_secrets_of_env_files_are_linked(spark):
+    weak = "wJalrXUtnFEMI/K7MDENG/bPxRfiCY" + "EXAMPLEKEY"
+    key = "AKIA" + "IOSFODNN7EXAMPLE"
+    texts = [
+        f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={weak}\nhttps://s3.amazonaws.com",
+        f"export AWS_ACCESS_KEY_ID='{key}'\nexport AWS_SECRET_ACCESS_KEY={weak}\n",
+        f"AZURE_CLIENT_ID=front-end\nAZURE_CLIENT_KEY={weak}\nURL=https://login.example.com",
+        f"https://db.example.com/q?user=ann&sig={weak}&v=1",
+        f"account: shop\nhttps://shop.example.com AccountKey={weak}==",
+        f"KEY={weak}\nhttps://s3.amazonaws.com",
+        f"user=ann KEY={weak}",
+        f"{key} {'far ' * 100} KEY={weak}",
+    ]
+    got = {r["doc_id"]: r for r in rows(secret_scans.scanned(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), redacted=True))}
+    assert [got[i]["n_linked"] for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert all((weak in got[i]["safe_text"]) == (i > 4) for i in range(8))
+
+
 def test_packing(docs, empty, spark):
     from tokenizers import Tokenizer
 
