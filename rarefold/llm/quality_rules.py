@@ -8,17 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import BLANKS, spare, written
+from rarefold.llm.common import BLANKS, bound, spare, written
 
 #: Words of a window whose repeats are counted.
 WINDOW = 8
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with value computed once even where use names it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
@@ -99,43 +94,45 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
 
 
-def line_rows(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """A row per row of docs and normalised line with a word: id_, host_, doc_ (the text's hash), line_ (hash)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return (
-        docs.select(F.col("doc_id").alias("id_"), F.col(host).alias("host_"), F.xxhash64(body).alias("doc_"), F.explode(F.split(body, "\n")).alias("raw_"))
-        .withColumn("raw_", normal_line(F.col("raw_")))
-        .where("raw_ <> ''")
-        .select("id_", "host_", "doc_", F.xxhash64("raw_").alias("line_"))
-    )
+def line_hashes(text: Column) -> Column:
+    """Hashes of a text's distinct normalised lines that have a word."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line), lambda x: x != "")
+    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
 def frequent_lines(docs: DataFrame, max_documents: int, text: str = "text", host: str = "source") -> DataFrame:
-    """host_, doc_ and line_ of the lines to remove: those that over max_documents distinct texts of the host hold, except in the text of the smallest doc_id (in all, where no holder has an id).
+    """host_, doc_ (the text's hash), line_ (hash) and first_ of the lines that over max_documents documents of the host hold; first_ is the smallest doc_id of those (null where no holder has an id).
 
-    Copies of one text count once. The counts are summed on the map side, so a
-    line of every document is no hot key; the join back is one that adaptive
-    execution splits.
+    Every row is a document; what equal texts of a host hold is written once, with
+    their number. The counts are summed on the map side, so a line of every
+    document is no hot key; the join back is one that adaptive execution splits.
     """
-    each = written(line_rows(docs, text, host).groupBy("host_", "doc_", "line_").agg(F.min("id_").alias("id_")), "lines")
-    often = each.groupBy("host_", "line_").agg(F.count("*").alias("n_"), F.min("id_").alias("first_")).where(F.col("n_") > max_documents)
+    body = F.coalesce(F.col(text), F.lit(""))
+    each = docs.select(F.col("doc_id").alias("id_"), F.col(host).alias("host_"), F.xxhash64(body).alias("doc_"), F.explode(line_hashes(F.col(text))).alias("line_"))
+    each = written(each.groupBy("host_", "doc_", "line_").agg(F.min("id_").alias("id_"), F.count("*").alias("c_")), "lines")
+    often = each.groupBy("host_", "line_").agg(F.sum("c_").alias("n_"), F.min("id_").alias("first_")).where(F.col("n_") > max_documents)
     often = often.select(F.col("host_").alias("h_"), F.col("line_").alias("l_"), "first_")
-    return each.join(often, F.col("host_").eqNullSafe(F.col("h_")) & (F.col("line_") == F.col("l_")) & ~(F.col("id_") == F.col("first_")).eqNullSafe(True)).select("host_", "doc_", "line_")
+    return each.join(often, F.col("host_").eqNullSafe(F.col("h_")) & (F.col("line_") == F.col("l_"))).select("host_", "doc_", "line_", "first_")
 
 
 def judged(docs: DataFrame, *, max_documents: int = 25, least_left: float = 0.3, text: str = "text", host: str = "source", cleaned: bool = False) -> DataFrame:
     """docs with the statistics, n_removed_words, kept and, where cleaned is set, clean_text.
 
-    max_documents: distinct texts of a host that may hold a line before it is
-    removed from all but its first text. A document is rejected if base_failed,
-    or if less than least_left of its words stay. Null hosts form one host.
-    Rows may repeat: equal rows get equal results. An empty table gives none.
+    max_documents: documents of a host that may hold a line before it is removed
+    from all of them but that with the smallest doc_id (rows with that id, where
+    ids repeat; none, where no holder has an id). A document is rejected if
+    base_failed, or if less than least_left of its words stay. Null hosts form one
+    host. Null texts are empty and have no lines; texts may have any length; rows
+    may repeat: each counts, and equal rows get equal results. An empty table
+    gives none. Columns of docs of the names above are replaced; others stay.
     """
     k1, k2, h, d, gone = spare(docs, "k1_", "k2_", "host_", "doc_", "gone_")
     lines = frequent_lines(docs, max_documents, text, host)
-    per = lines.groupBy(F.col("host_").alias(h), F.col("doc_").alias(d)).agg(F.collect_list("line_").alias(gone))
+    per = lines.groupBy(F.col("host_").alias(h), F.col("doc_").alias(d)).agg(F.collect_list(F.struct("line_", "first_")).alias(gone))
     out = statistics(docs, text).withColumns({k1: F.col(host), k2: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     out = out.join(per, F.col(k1).eqNullSafe(F.col(h)) & (F.col(k2) == F.col(d)), "left")
+    own = F.transform(F.filter(F.col(gone), lambda x: ~x["first_"].eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull()), lambda x: x["line_"])
+    out = out.withColumn(gone, F.when(F.size(own) > 0, own))
     body, removed = F.coalesce(F.col(text), F.lit("")), F.col(gone)
     dropped = F.filter(F.split(body, "\n"), lambda x: F.array_contains(removed, F.xxhash64(normal_line(x))))
     words = F.aggregate(dropped, F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(normal_line(x), " ")))

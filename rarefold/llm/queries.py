@@ -67,8 +67,8 @@ ORACLES = {
         c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
         v AS (SELECT doc_id, count(DISTINCT i + k.k) AS n FROM c, range(0, 8) AS k(k) WHERE c > 1 GROUP BY doc_id),
         l AS (SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM s)),
-        f AS (SELECT source, line, count(DISTINCT t) AS c, min(doc_id) AS first FROM l GROUP BY source, line),
-        x AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f USING (source, line) JOIN d ON d.doc_id = f.first WHERE c > 25 AND l.t <> d.t GROUP BY l.doc_id),
+        f AS (SELECT source, line, count(DISTINCT doc_id) AS c, min(doc_id) AS first FROM l GROUP BY source, line),
+        x AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f USING (source, line) WHERE c > 25 AND l.doc_id <> f.first GROUP BY l.doc_id),
         b AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, coalesce(x.n, 0)::BIGINT AS n_removed_words FROM s LEFT JOIN v USING (doc_id) LEFT JOIN x USING (doc_id)),
         k AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)

@@ -56,15 +56,14 @@ def plain_rules(data, limit):
     for i, t, _, s, _ in data:
         for line in (t or "").split("\n"):
             if norm(line):
-                key = held[s, norm(line)]
-                key[t] = min(key.get(t, i), i)
+                held[s, norm(line)][i] = True
     out = {}
     for i, t, _, s, _ in data:
         w = BLANK.findall(t or "")
         ls = [x for x in (t or "").split("\n") if BLANK.search(x)]
         c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         twice = {k + j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(8)}
-        gone = sum(len(norm(x).split(" ")) for x in ls if len(held[s, norm(x)]) > limit and held[s, norm(x)][t] != min(held[s, norm(x)].values()))
+        gone = sum(len(norm(x).split(" ")) for x in ls if len(held[s, norm(x)]) > limit and i != min(held[s, norm(x)]))
         failed = len(w) < 20 or 100 * len(twice) > 30 * len(w)
         out[i] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(twice), failed, gone, not failed and len(w) - gone >= 0.3 * len(w))
     return out
@@ -143,6 +142,34 @@ def test_secrets_of_env_files_are_linked(spark):
     assert all((weak in got[i]["safe_text"]) == (i > 4) for i in range(8))
 
 
+def test_secrets_are_linked_wherever_parts_are_in_scope(spark):
+    """Against the distance itself, over all offsets up to twice the scope, at all places in a block, before and after."""
+    weak, scope = "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3z0qLongerThanAScopeWithNoOtherPart9", 20
+    key, user, url = "AKIA" + "IOSFODNN7EXAMPLE", "user=ann", "https://db.example.com"
+    texts, want = [], []
+    for gap in range(1, 2 * scope + 1):
+        for pad in range(0, scope, 3):
+            for one in (f"{weak}{' ' * gap}{key}", f"{key}{' ' * gap}{weak}", f"{user} {weak}{' ' * gap}{url}", f"{user}{' ' * gap}{weak} {url}", f"{url}{' ' * gap}{weak} {user}"):
+                texts.append("é" * pad + " " + one)
+                want.append(int(gap <= scope))
+    got = {r["doc_id"]: r["n_linked"] for r in rows(secret_scans.scanned(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), scope=scope))}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_secrets_of_long_and_repeated_texts(spark):
+    late = "q" * 60 + "7Z" + "x" * 60
+    many = " ".join(f"x{k}é password=hunter{k:05d} {k:032x}" for k in range(3000))
+    texts = [many, f"AKIA{'A' * 16} {late}", f"AKIA{'A' * 16} {late}", "plain " * 20000]
+    data = [(i, t, "en", None, 0) for i, t in enumerate(texts)] + [(None, texts[1], "en", None, 0)]
+    got = rows(secret_scans.scanned(spark.createDataFrame(data, DOCS), redacted=True))
+    assert sorted(r["n_linked"] for r in got) == [0, 0, 1, 1, 1]
+    (one,) = [r for r in got if r["doc_id"] == 0]
+    want = plain_secrets(many)
+    assert one["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want) and len(want) == 6000
+    assert one["safe_text"] == " ".join(f"x{k}é <assign> <hex>" for k in range(3000))
+    assert all(late not in r["safe_text"] for r in got)
+
+
 def test_packing(docs, empty, spark):
     from tokenizers import Tokenizer
 
