@@ -99,9 +99,12 @@ def loops(d: np.ndarray) -> np.ndarray:
 
 def components_for(x: np.ndarray, share: float = 0.95) -> int:
     """Principal components that hold the share of the variance."""
-    if len(x) < 2:
-        return 1
-    values = np.linalg.eigvalsh(np.cov(x, rowvar=False).reshape(x.shape[1], x.shape[1]))[::-1].clip(0)
+    return explaining(np.linalg.eigvalsh(np.cov(x, rowvar=False).reshape(x.shape[1], x.shape[1])), share) if len(x) > 1 else 1
+
+
+def explaining(variances: np.ndarray, share: float = 0.95) -> int:
+    """How many of a covariance's rising eigenvalues, from the largest, hold the share of their sum."""
+    values = variances[::-1].clip(0)
     if values.sum() < 1e-12:
         return 1
     return int(np.searchsorted(values.cumsum() / values.sum(), share) + 1)

@@ -201,13 +201,13 @@ def by_dimension(f: Fold, scale: float = 0.75, least: float = 0.0, sample: int =
     return ranked(f, alpha=float(np.clip(1 - scale * spread, least, 1)))
 
 
-def climbed(f: Fold, value: Callable[[np.ndarray], float]) -> np.ndarray:
-    """Shares with k, by query, halved from the odd root of n while value of the nearest rows' numbers rises."""
-    out, top = [], odd(max(1, int(len(f.y) ** 0.5)))
-    for own in f.order:
+def climbed(f: Fold, value: Callable[[np.ndarray], float], k_min: int = 1, k_max: int | None = None, orders: Iterable[np.ndarray] | None = None) -> np.ndarray:
+    """Shares with k, by query, halved from k_max (the odd root of n) while value of the nearest rows' numbers rises, k_min at least. orders: training rows by query, nearest first, the fold's own if not given."""
+    out, top = [], odd(max(1, int(len(f.y) ** 0.5) if k_max is None else k_max))
+    for own in f.order if orders is None else orders:
         k, best = top, value(own[:top])
-        while k > 1:
-            nxt = odd(k // 2)
+        while k > k_min:
+            nxt = max(k_min, odd(k // 2))
             if nxt >= k or (v := value(own[:nxt])) <= best:
                 break
             k, best = nxt, v
@@ -215,17 +215,25 @@ def climbed(f: Fold, value: Callable[[np.ndarray], float]) -> np.ndarray:
     return np.array(out)
 
 
-def by_entropy(f: Fold) -> np.ndarray:
-    def h(at: np.ndarray) -> float:
+def label_entropy(f: Fold) -> Callable[[np.ndarray], float]:
+    def of(at: np.ndarray) -> float:
         p = np.unique(f.y[at], return_counts=True)[1] / len(at) + 1e-9
         p /= p.sum()
         return -float((p * np.log2(p)).sum())
 
-    return climbed(f, h)
+    return of
 
 
-def by_components(f: Fold) -> np.ndarray:
-    return climbed(f, lambda at: components_for(f.x[at]))
+def variance_components(f: Fold) -> Callable[[np.ndarray], float]:
+    return lambda at: components_for(f.x[at])
+
+
+def by_entropy(f: Fold, k_min: int = 1, k_max: int | None = None) -> np.ndarray:
+    return climbed(f, label_entropy(f), k_min, k_max)
+
+
+def by_components(f: Fold, k_min: int = 1, k_max: int | None = None) -> np.ndarray:
+    return climbed(f, variance_components(f), k_min, k_max)
 
 
 def topology_k(f: Fold, own: np.ndarray, h0: float = 0.5, h1: float = 0.1, rare: float = 0.15) -> int:
@@ -233,27 +241,24 @@ def topology_k(f: Fold, own: np.ndarray, h0: float = 0.5, h1: float = 0.1, rare:
     top = min(odd(max(1, int(len(f.y) ** 0.5))), len(own))
     pool = own[:top]
     d = pairwise(f.x[pool], f.x[pool])
-    deaths = tree_edges(d)
-    if not len(deaths) or deaths[-1] < 1e-10:
-        return 1
-    ring = loops(d)
-    border = (ring[:, 1] - ring[:, 0]).sum() / deaths[-1] > h1
+    deaths, rings = tree_edges(d), loops(d)
+    size = deaths[-1] if len(deaths) else 0.0
     share = float((f.y[pool] == 1).mean())
-    parted = deaths[-1] / deaths[-1] > h0  # every component is born at 0, so this always holds
-    if border or (parted and rare < share < 1 - rare):
+    if size < 1e-10 or (rings[:, 1] - rings[:, 0]).sum() > h1 * size or share > 1 - rare:
         return 1
-    if parted and share < rare:
-        return odd(int(top**0.5))
-    return 1 if share > 1 - rare else top
+    # every component is born at 0, so that the longest life is always the whole size: the cloud is in parts unless h0 is 1
+    if h0 >= 1 or share in (rare, 1 - rare):
+        return top
+    return odd(int(top**0.5)) if share < rare else 1
 
 
 def by_topology(f: Fold) -> np.ndarray:
     return np.array([f.y[own[: topology_k(f, own)]].mean() for own in f.order])
 
 
-def two_anchors(f: Fold) -> np.ndarray:
-    """k from how near the query is to the local cloud of each class, in the cloud's own metric."""
-    top = odd(max(1, int(len(f.y) ** 0.5)))
+def two_anchors(f: Fold, k_min: int = 1, k_max: int | None = None, k_min_proba: int = 3) -> np.ndarray:
+    """k from how near the query is to the local cloud of each class, in the cloud's own metric. The side of 0.5 is that of k rows, the share that of k_min_proba rows at least, as far as both agree."""
+    top = odd(max(1, int(len(f.y) ** 0.5) if k_max is None else k_max))
 
     def to(q: np.ndarray, label: int) -> float:
         own = f.x[f.y == label]
@@ -266,10 +271,11 @@ def two_anchors(f: Fold) -> np.ndarray:
     for q, own in zip(f.q, f.order, strict=True):
         a, b = to(q, 1), to(q, 0)
         if np.isinf(a) or np.isinf(b) or a + b < 1e-12:
-            k = top if np.isinf(a) and not np.isinf(b) else 1 if np.isinf(b) and not np.isinf(a) else odd(int(top**0.5))
+            k = top if np.isinf(a) and not np.isinf(b) else k_min if np.isinf(b) and not np.isinf(a) else odd(int(top**0.5))
         else:
-            k = odd(round(1 + a / (a + b) * (top - 1)))
-        out.append(f.y[own[:k]].mean())
+            k = odd(round(k_min + a / (a + b) * (top - k_min)))
+        said, share = f.y[own[:k]].mean() > 0.5, f.y[own[: max(k, k_min_proba)]].mean()
+        out.append(max(share, np.nextafter(0.5, 1)) if said else min(share, 0.5))
     return np.array(out)
 
 
@@ -282,14 +288,15 @@ def regions(x: np.ndarray, least: float = 0.05) -> np.ndarray:
     merges, heights = ward(x)
     if heights[-1] < 1e-10:
         return np.zeros(n, int)
-    best, found = least, np.zeros(n, int)
-    for i in range(max(0, n - n // rows - 1), n - 2):
-        gap = (heights[i + 1] - heights[i]) / heights[-1]
-        if gap >= best and (gap > best or not found.any()):
-            label = cut(n, merges, i + 1)
-            if np.bincount(label).min() >= rows:
-                best, found = gap, label
-    return found
+    gaps = np.diff(heights) / heights[-1]
+    late = np.arange(max(0, n - n // rows - 1), n - 2)  # cuts above which few enough clusters are left
+    for i in late[np.argsort(-gaps[late], kind="stable")]:
+        if gaps[i] < least:
+            break
+        label = cut(n, merges, i + 1)
+        if np.bincount(label).min() >= rows:
+            return label
+    return np.zeros(n, int)
 
 
 def region_k(f: Fold, label: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -353,24 +360,40 @@ def by_scale(f: Fold, least: float = 0.05) -> np.ndarray:
     return shares(out)
 
 
+def crowding(a: np.ndarray, b: np.ndarray, ref: int) -> np.ndarray:
+    """Rows of b inside the ball around each row of a that reaches its ref-th other row of a, by ref."""
+    near = min(ref, len(a) - 1)
+    reach = np.partition(pairwise(a, a), near, axis=1)[:, near]
+    return np.count_nonzero(pairwise(a, b) <= reach[:, None], axis=1) / ref
+
+
+def breaks(values: np.ndarray, least_rows: int, least_gap: float) -> list[int]:
+    """Where rising values part: at the widest gap that leaves enough rows on either side, if it is wide enough against the whole range, then so within both sides."""
+    span = values[-1] - values[0]
+    if span < 1e-9:
+        return []
+
+    def inside(low: int, high: int) -> list[int]:
+        at = np.arange(low + least_rows, high - least_rows + 1)
+        if not len(at):
+            return []
+        gaps = (values[at] - values[at - 1]) / span
+        widest = len(at) - 1 - int(gaps[::-1].argmax())
+        mid = int(at[widest])
+        return [*inside(low, mid), mid, *inside(mid, high)] if gaps[widest] >= least_gap else []
+
+    return inside(0, len(values))
+
+
 def by_density_regions(f: Fold, least: float = 0.1) -> np.ndarray:
     """k from the nearest centre of each class: rare rows by gaps in their local odds, common rows by as many means."""
     a, b = f.x[f.y == 1], f.x[f.y != 1]
     if not len(a) or not len(b):
         return np.full(len(f.q), float(len(a) > 0))
     ref = max(1, min(max(3, int(len(a) ** 0.5)), len(a) - 1))
-    radius = np.sort(pairwise(a, a), axis=1)[:, min(ref, len(a) - 1)]
-    rho = (pairwise(a, b) <= radius[:, None]).sum(axis=1) / ref
-    order, cuts = np.argsort(rho, kind="stable"), []
-    span = rho.max() - rho.min()
-    if len(rho) >= 2 * ref and span >= 1e-9:
-        gaps = np.diff(rho[order]) / span
-        for g in np.argsort(gaps)[::-1]:
-            if gaps[g] < least:
-                break
-            more = sorted([*cuts, int(g) + 1])
-            if min(np.diff([0, *more, len(rho)])) >= ref:
-                cuts = more
+    odds = crowding(a, b, ref)
+    order = np.argsort(odds, kind="stable")
+    cuts = breaks(odds[order], ref, least)
     groups = np.split(order, cuts)
     ca, na = np.array([a[g].mean(axis=0) for g in groups]), np.array([len(g) for g in groups])
     cb, label = k_means(b, min(len(groups), len(b)), f.seed)
@@ -397,14 +420,13 @@ def synthetic(f: Fold, k: int = 5) -> Fold:
     return out
 
 
-def local_metric(f: Fold, k: int = 5, pool: int = 50, ridge: float = 1.0) -> np.ndarray:
-    """Discriminant adaptive neighbours: distances around each query in the metric that its pool's classes suggest (K6)."""
-    out = []
+def metric_orders(f: Fold, pool: int, ridge: float, least: int) -> Iterator[np.ndarray]:
+    """Training rows by query, nearest first in the metric that the classes of its pool of near rows suggest."""
+    p = f.x.shape[1]
     for q, own in zip(f.q, f.order, strict=True):
-        at = own[: max(k, min(pool, len(own)))]
+        at = own[: max(least, min(pool, len(own)))]
         x, y = f.x[at], f.y[at]
         labels = [c for c in (0, 1) if (y == c).sum() > 1]
-        p = f.x.shape[1]
         if len(labels) == 2:
             within = sum((y == c).mean() * np.cov(x[y == c], rowvar=False).reshape(p, p) for c in labels) + 1e-6 * np.eye(p)
             values, axes = np.linalg.eigh(within)
@@ -414,8 +436,18 @@ def local_metric(f: Fold, k: int = 5, pool: int = 50, ridge: float = 1.0) -> np.
             metric = root @ (root @ between @ root + ridge * np.eye(p)) @ root
             gap = f.x - q
             own = np.argsort(((gap @ metric) * gap).sum(axis=1), kind="stable")
-        out.append(f.y[own[:k]].mean())
-    return np.array(out)
+        yield own
+
+
+def local_metric(f: Fold, k: int = 5, pool: int = 50, ridge: float = 1.0) -> np.ndarray:
+    """Discriminant adaptive neighbours: k of them in the metric around each query (K6)."""
+    return np.array([f.y[own[:k]].mean() for own in metric_orders(f, pool, ridge, k)])
+
+
+def adaptive_metric(f: Fold, strategy: str = "entropy", k_min: int = 1, k_max: int | None = None, pool: int = 50, ridge: float = 1.0) -> np.ndarray:
+    """The same with k chosen around each query, by the labels' entropy or, with strategy eigen, the components of the near rows (K6)."""
+    value = {"entropy": label_entropy, "eigen": variance_components}[strategy](f)
+    return climbed(f, value, k_min, k_max, metric_orders(f, pool, ridge, k_max or 1))
 
 
 #: Every model by name; more may be added by the caller.
@@ -428,6 +460,8 @@ MODELS: dict[str, Model] = {
     "knn_topology": by_topology,
     "knn_two_anchors": two_anchors,
     "knn_local_metric": local_metric,
+    "knn_local_metric_entropy": adaptive_metric,
+    "knn_local_metric_eigen": partial(adaptive_metric, strategy="eigen"),
     "knn_synthetic": lambda f: plain(synthetic(f)),
     "knn_synthetic_best_k": lambda f: best_k(synthetic(f)),
     "rank": ranked,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.functions.geometry import components_for
+from rarefold.functions.geometry import explaining
 from rarefold.operators.neighbours import nearest, within
 from rarefold.operators.votes import lid
 
@@ -44,17 +44,20 @@ def histogram_entropy(df: DataFrame) -> DataFrame:
 
 
 def graph_features(df: DataFrame, k_first: int = 5, k_second: int = 10) -> DataFrame:
-    """One row with both definitions (X6): v1 over k_first neighbours, majority share and mixed lists of all rows; v2 over k_second, rare share and rare rows whose nearest is common."""
+    """One row with both definitions (X6): v1 over k_first neighbours, majority share and mixed lists of all rows; v2 over k_second, rare share and rare rows whose nearest is common; nn_dist_ratio: rare rows' mean distance to their k_first by common rows', 1 where a class has a row at most."""
     near = nearest(df, df, max(k_first, k_second), "id")
     first, second = F.slice("near", 1, k_first), F.slice("near", 1, k_second)
     ones = lambda a: F.size(F.filter(a, lambda x: x["label"] == 1)) / F.size(a)
     rare = F.col("y") == 1
-    each = near.select("y", ones(first).alias("a"), ones(second).alias("b"), F.get("near", F.lit(0))["label"].alias("l"))
+    mean_d = F.aggregate(first, F.lit(0.0), lambda s, x: s + x["d"]) / F.size(first)
+    each = near.select("y", ones(first).alias("a"), ones(second).alias("b"), F.get("near", F.lit(0))["label"].alias("l"), mean_d.alias("d"))
+    ratio = F.avg(F.when(rare, F.col("d"))) / (F.avg(F.when(~rare, F.col("d"))) + 1e-9)
     return each.agg(
         F.avg(F.when(rare, 1 - F.col("a"))).alias("purity_v1"),
         F.avg(((F.col("a") > 0) & (F.col("a") < 1)).cast("double")).alias("borderline_v1"),
         F.avg(F.when(rare, F.col("b"))).alias("purity_v2"),
         F.avg(F.when(rare, (F.col("l") == 0).cast("double"))).alias("borderline_v2"),
+        F.when((F.count_if(rare) > 1) & (F.count_if(~rare) > 1), ratio).otherwise(1.0).alias("nn_dist_ratio"),
     )
 
 
@@ -85,25 +88,33 @@ def counted_k(lists: DataFrame, rank: int) -> DataFrame:
 
 
 def effective_dimension(df: DataFrame, share: float = 0.95) -> DataFrame:
-    """y and components of each class (Z2): sums of products by place, a class at a time, and one small eigenvalue problem each."""
+    """y, components and n of each class (Z2): sums of products, partition by partition, and one small eigenvalue problem a class."""
+
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"y": [rows["y"].iloc[0]], "components": [components_for(np.stack(rows["v"].to_numpy()), share)]})
+        n = int(rows["n"].sum())
+        s, p = (np.sum(np.stack(rows[c].to_numpy()), axis=0) for c in ("s", "p"))
+        values = np.linalg.eigvalsh((p.reshape(len(s), -1) - np.outer(s, s) / n) / max(1, n - 1))
+        return pd.DataFrame({"y": [rows["y"].iloc[0]], "components": [explaining(values, share)], "n": [n]})
+
+    return moments(df, "y").groupBy("y").applyInPandas(of, "y int, components int, n long")
 
-    return df.select("y", F.col("v").cast("array<double>").alias("v")).groupBy("y").applyInPandas(of, "y int, components int")
 
+def moments(df: DataFrame, by: str | None = None) -> DataFrame:
+    """n, sum and product sums of v, partition by partition (and by an int column): what a covariance of any number of rows needs."""
 
-def moments(df: DataFrame) -> DataFrame:
-    """n, sum and product sums of v, partition by partition: what a covariance of any number of rows needs."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, p = 0, 0.0, 0.0
+        found: dict = {}
         for b in batches:
-            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, 1))
-            if len(b):
-                n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "p": [p.ravel()]})
-
-    return df.select(F.col("v").cast("array<double>").alias("v")).mapInPandas(part, "n long, s array<double>, p array<double>")
+            for key, own in b.groupby(by) if by else ((0, b),):
+                if len(own):
+                    x = np.stack(own["v"].to_numpy())
+                    n, s, p = found.get(key, (0, 0.0, 0.0))
+                    found[key] = n + len(x), s + x.sum(axis=0), p + x.T @ x
+        for key, (n, s, p) in found.items():
+            yield pd.DataFrame(({by: [key]} if by else {}) | {"n": [n], "s": [s], "p": [p.ravel()]})
+
+    v = F.col("v").cast("array<double>").alias("v")
+    return df.select(*([F.col(by).cast("int").alias(by)] if by else []), v).mapInPandas(part, (f"{by} int, " if by else "") + "n long, s array<double>, p array<double>")
 
 
 def principal(df: DataFrame, components: int = 2) -> tuple[np.ndarray, np.ndarray]:

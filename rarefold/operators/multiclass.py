@@ -21,6 +21,18 @@ def majority_label(near: DataFrame) -> DataFrame:
     return label_votes(near).groupBy("id", "y").agg(best.alias("m")).select("id", "y", F.col("m.label").alias("y_pred"), F.col("m.share").alias("p"))
 
 
+def label_shares(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
+    """id, y, label and share: each known label's share of the k nearest rows, 0 included; k = 0 takes all training rows (K1)."""
+    labels = train.select(F.col("y").cast("int").alias("label")).distinct()  # a row per class
+    if k == 0:
+        n = train.groupBy(F.col("y").cast("int").alias("label")).count()
+        shares = n.join(F.broadcast(n.agg(F.sum("count").alias("n"))), F.lit(True)).select("label", (F.col("count") / F.col("n")).alias("share"))
+        return queries.select("id", F.col("y").cast("int").alias("y")).join(F.broadcast(shares), F.lit(True))
+    found = label_votes(nearest(queries, train, k)).select(F.col("id").alias("id_"), F.col("label").alias("label_"), "share")
+    every = queries.select("id", F.col("y").cast("int").alias("y")).join(F.broadcast(labels), F.lit(True))
+    return every.join(found, (F.col("id") == F.col("id_")) & (F.col("label") == F.col("label_")), "left").select("id", "y", "label", F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
 def weighted_label(near: DataFrame, train: DataFrame) -> DataFrame:
     """Votes times n / (classes * n_class); the lowest label among equals (K5)."""
     counts = train.groupBy("y").count()
@@ -102,7 +114,7 @@ def ranked_label(queries: DataFrame, train: DataFrame, *, n_votes: int = 5, buff
 
 
 def lodo(table: DataFrame, k: int = 5) -> DataFrame:
-    """Each row's label from the k nearest other rows."""
+    """Each row's label from the k nearest other rows."""
     return majority_label(nearest(table, table, k, "id"))
 
 

@@ -94,6 +94,15 @@ def degenerate(df: DataFrame, by: str, folds: int, label: str = "y") -> tuple[Da
     return df.join(good, by, "left_semi"), df.join(good, by, "left_anti")
 
 
+def numbered(df: DataFrame, key: str, out: str, shares: int = 256) -> DataFrame:
+    """df with out, from 0 without gaps, by md5 share of key and then key: a window in each share, and one over the counts of shares."""
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("int") % shares
+    own = df.withColumn("share_", share)
+    before = own.groupBy("share_").agg(F.count("*").alias("n_")).select(F.col("share_").alias("s_"), (F.sum("n_").over(W.orderBy("share_")) - F.col("n_")).alias("before_"))  # a row per share
+    placed = own.withColumn("at_", F.row_number().over(W.partitionBy("share_").orderBy(key)) - 1)
+    return placed.join(F.broadcast(before), F.col("share_") == F.col("s_")).withColumn(out, F.col("before_") + F.col("at_")).drop("share_", "s_", "before_", "at_")
+
+
 def oversampled(train: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """train (id, y, v) with rare rows added up to parity: row j of them lies between a rare row and one of its k nearest, all by md5 of j (P14). Under two rare rows give train as it is."""
     from rarefold.operators.neighbours import nearest, sizes
@@ -103,7 +112,8 @@ def oversampled(train: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
         return train
     rare = train.where("y = 1")
     n = max(1, min(k, s.n_min - 1))
-    near = nearest(rare, rare, n, "id").select(F.col("id"), "near").withColumn("rank", F.row_number().over(W.orderBy("id")) - 1)
+    near = nearest(rare, rare, n, "id").select(F.col("id"), "near")
+    near = numbered(near, "id", "rank")
     dice = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("j").cast("string"), F.lit(str(seed)), F.lit(salt))), 1, 8), 16, 10).cast("long")
     new = train.sparkSession.range(s.n_maj - s.n_min).withColumnRenamed("id", "j")
     new = new.withColumns({"rank": dice("base") % s.n_min, "pick": (dice("pick") % n).cast("int"), "gap": dice("gap") / F.lit(2.0**32)})

@@ -80,7 +80,22 @@ RESULTS = "r AS (SELECT n_name AS dataset, o_orderpriority AS algorithm, avg(o_t
 RANKS = "k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0::DOUBLE AS rank FROM r)"
 LINES = "l AS (SELECT l_returnflag AS algorithm, year(l_shipdate)::INTEGER AS dataset, CASE WHEN l_discount > 0.07 THEN 1 ELSE 0 END AS y, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS p, l_quantity AS score FROM lineitem), c AS (SELECT dataset, algorithm, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn FROM l GROUP BY ALL)"
 DIFF = "x AS (SELECT r.dataset, r.algorithm, r.value - b.value AS diff FROM r JOIN r b ON b.dataset = r.dataset AND b.algorithm = '5-LOW' WHERE r.algorithm <> '5-LOW')"
-WILCOXON = "w0 AS (SELECT *, rank() OVER (PARTITION BY algorithm ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY algorithm, abs(diff)) - 1) / 2.0::DOUBLE AS rk FROM x WHERE diff <> 0), w AS (SELECT algorithm, count(*) AS n, least(coalesce(sum(rk) FILTER (diff > 0), 0), coalesce(sum(rk) FILTER (diff < 0), 0))::DOUBLE AS statistic FROM w0 GROUP BY algorithm)"
+#: Exact signed-rank chances, from the ways that ranks 1 to k give each sum; the driver's results have no ties.
+WILCOXON = """w0 AS (SELECT *, rank() OVER (PARTITION BY algorithm ORDER BY abs(diff)) AS rk FROM x WHERE diff <> 0),
+    w1 AS (SELECT algorithm, count(*) AS n, least(coalesce(sum(rk) FILTER (diff > 0), 0), coalesce(sum(rk) FILTER (diff < 0), 0))::DOUBLE AS statistic FROM w0 GROUP BY algorithm),
+    u AS (SELECT 0 AS k, list_concat([1.0::DOUBLE], list_transform(range(0, 325), lambda i: 0.0::DOUBLE)) AS c UNION ALL SELECT k + 1, list_transform(range(1, 327), lambda i: c[i] + CASE WHEN i > k + 1 THEN c[i - k - 1] ELSE 0 END) FROM u WHERE k < 25),
+    w AS (SELECT algorithm, n, statistic, least(1, 2 * list_sum(c[1:statistic::BIGINT + 1]) / 2.0::DOUBLE ** n) AS p_raw, 0::BIGINT AS ties FROM w1 JOIN u ON k = n)"""
+HOLM = "h AS (SELECT *, least(1, p_raw * (count(*) OVER () - row_number() OVER (ORDER BY p_raw, algorithm) + 1)) AS p FROM w)"
+NATIONS = "m0 AS (SELECT n_name AS dataset, n_nationkey::BIGINT AS id, count(*)::DOUBLE AS a, avg(c_acctbal) AS b, avg(CASE WHEN c_acctbal < 0 THEN 1.0::DOUBLE ELSE 0 END) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), m AS (SELECT dataset, id, [ln(a), b / 1000, c * 10] AS v, a / (1 + c * a) AS imbalance FROM m0)"
+
+
+def told(labels: str) -> str:
+    """Leave-one-out accuracy of five neighbours over the nations, of labels by dataset."""
+    return f"""o AS (SELECT id, v, label FROM m JOIN {labels} USING (dataset)),
+        n AS (SELECT x.id, x.label AS y, z.label AS l, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk FROM o x JOIN o z ON x.id <> z.id),
+        c AS (SELECT id, y, l, count(*) AS n, min(rk) AS f FROM n WHERE rk <= 5 GROUP BY ALL), p AS (SELECT id, y, arg_min(l, (-n, f)) AS p FROM c GROUP BY ALL),
+        t AS (SELECT avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0 END) AS a, (SELECT max(n) FROM (SELECT count(*) AS n FROM o GROUP BY label))::DOUBLE / count(*) AS b, count(*) AS n FROM p)
+        SELECT round(a, 9) AS accuracy, round(b, 9) AS baseline, round(a - b, 9) AS gain, n FROM t"""
 RATIO = "(n_maj::DOUBLE / n_min)"
 
 
@@ -161,9 +176,9 @@ ORACLES = {
     "z9_fixed_k": f"""WITH {E}, {FOLDS}, d AS (SELECT x.id AS qid, x.y AS qy, x.fold, z.y, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk FROM tf x JOIN tf z ON x.fold <> z.fold),
         g AS (SELECT unnest([1, 3, 5, 7, 11, 21]) AS k), v AS (SELECT k, qid, qy AS y, fold, count(*) FILTER (d.y = 1) AS a, count(*) FILTER (d.y = 0) AS b FROM d JOIN g ON rk <= k GROUP BY ALL),
         p AS (SELECT k, fold, y, CASE WHEN a > b THEN 1 ELSE 0 END AS p FROM v), c AS (SELECT k, fold, {CONFUSION} FROM p GROUP BY ALL) SELECT k, round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END), 9) AS score FROM c GROUP BY k""",
-    "x6_graph_features": f"""WITH {E}, n AS (SELECT x.id, x.y, z.y AS l, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk FROM t x JOIN t z ON x.id <> z.id),
-        a AS (SELECT id, any_value(y) AS y, avg(l) FILTER (rk <= 5) AS a, avg(l) FILTER (rk <= 10) AS b, max(l) FILTER (rk = 1) AS f FROM n GROUP BY id)
-        SELECT round(avg(1 - a) FILTER (y = 1), 9) AS purity_v1, round(avg(CASE WHEN a > 0 AND a < 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS borderline_v1, round(avg(b) FILTER (y = 1), 9) AS purity_v2, round(avg(1.0::DOUBLE - f) FILTER (y = 1), 9) AS borderline_v2 FROM a""",
+    "x6_graph_features": f"""WITH {E}, n AS (SELECT x.id, x.y, z.y AS l, list_distance(x.v, z.v) AS d, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk FROM t x JOIN t z ON x.id <> z.id),
+        a AS (SELECT id, any_value(y) AS y, avg(d) FILTER (rk <= 5) AS d, avg(l) FILTER (rk <= 5) AS a, avg(l) FILTER (rk <= 10) AS b, max(l) FILTER (rk = 1) AS f FROM n GROUP BY id)
+        SELECT round(avg(1 - a) FILTER (y = 1), 9) AS purity_v1, round(avg(CASE WHEN a > 0 AND a < 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS borderline_v1, round(avg(b) FILTER (y = 1), 9) AS purity_v2, round(avg(1.0::DOUBLE - f) FILTER (y = 1), 9) AS borderline_v2, round(avg(d) FILTER (y = 1) / (avg(d) FILTER (y = 0) + 1e-9), 9) AS nn_dist_ratio FROM a""",
     "x1_table_features": f"""WITH {E}, p AS (SELECT g.i, avg(v[g.i]) AS m, stddev_pop(v[g.i]) AS s, avg(v[g.i] ** 3) AS c, avg(v[g.i] ** 2) AS q FROM t, range(1, 65) AS g(i) GROUP BY g.i),
         n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = 1)::DOUBLE AS a FROM t)
         SELECT round(ln(n), 9) AS log_n, round(ln(64), 9) AS log_p, round(ln((n - a) / a), 9) AS log_imbalance, round(64 / n, 9) AS p_by_n, round(-(a / n * log2(a / n) + (1 - a / n) * log2(1 - a / n)), 9) AS class_entropy,
@@ -202,7 +217,7 @@ ORACLES = {
     "g12_deltas": f"WITH {RESULTS}, {DIFF} SELECT algorithm, round(avg(diff), 6) AS delta, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses FROM x GROUP BY algorithm",
     "g13_winners": f"WITH {RESULTS} SELECT dataset, arg_min(algorithm, (-value, algorithm)) AS algorithm, round(max(value), 6) AS value FROM r GROUP BY dataset",
     "g13_win_rates": f"WITH {RESULTS}, w AS (SELECT dataset, arg_min(algorithm, (-value, algorithm)) AS algorithm, max(value) AS value FROM r GROUP BY dataset), e AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM w), k AS (SELECT *, CASE WHEN value <= a THEN 1 WHEN value <= b THEN 2 WHEN value <= c THEN 3 ELSE 4 END AS bin FROM w, e) SELECT bin, algorithm, count(*) AS wins, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY bin), 9) AS rate FROM k GROUP BY bin, algorithm",
-    "g14_bootstrap": f"WITH {RESULTS}, n AS (SELECT algorithm, value, row_number() OVER (PARTITION BY algorithm ORDER BY dataset) - 1 AS i, count(*) OVER (PARTITION BY algorithm) AS n FROM r), d AS (SELECT algorithm, b, ('0x' || substr(md5(concat(b, '-', i, '-42')), 1, 8))::BIGINT % n AS i FROM n, range(0, 200) AS g(b)), m AS (SELECT algorithm, b, avg(value) AS m FROM d JOIN n USING (algorithm, i) GROUP BY ALL), q AS (SELECT algorithm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY algorithm) SELECT algorithm, round(avg(value), 5) AS mean, round(any_value(lo), 5) AS lower, round(any_value(hi), 5) AS upper FROM q JOIN r USING (algorithm) GROUP BY algorithm",
+    "g14_bootstrap": f"WITH {RESULTS}, n AS (SELECT algorithm, value, row_number() OVER (PARTITION BY algorithm ORDER BY dataset) - 1 AS i, count(*) OVER (PARTITION BY algorithm) AS n FROM r), d AS (SELECT algorithm, b, ('0x' || substr(md5(concat(b, '-', i, '-42')), 1, 8))::BIGINT % n AS i FROM n, range(0, 2000) AS g(b)), m AS (SELECT algorithm, b, avg(value) AS m FROM d JOIN n USING (algorithm, i) GROUP BY ALL), q AS (SELECT algorithm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY algorithm) SELECT algorithm, round(avg(value), 5) AS mean, round(any_value(lo), 5) AS lower, round(any_value(hi), 5) AS upper FROM q JOIN r USING (algorithm) GROUP BY algorithm",
     "g15_summary": f"WITH {DOCS} SELECT source, count(*) AS n, count(*) FILTER (y = 0) AS n_maj, count(*) FILTER (y = 1) AS n_min FROM docs GROUP BY source",
     "g16_saturation": f"WITH {DOCS}, c AS (SELECT source, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM docs GROUP BY source) SELECT source, (ceil(b::DOUBLE / greatest(1, a))::BIGINT * 5 + 10)::BIGINT AS asked, least(greatest(ceil(b::DOUBLE / greatest(1, a))::BIGINT * 5 + 10, 30), 1000, b) AS used, ceil(b::DOUBLE / greatest(1, a))::BIGINT * 5 + 10 > b AS short FROM c",
     "g18_line": f"WITH {DOCS} SELECT round(regr_slope(blanks, n_chars), 9) AS slope, round(regr_intercept(blanks, n_chars), 6) AS intercept, round(corr(blanks, n_chars), 9) AS r FROM docs",
@@ -210,8 +225,35 @@ ORACLES = {
     "w3_average_ranks": f"WITH {RESULTS}, {RANKS} SELECT algorithm, round(avg(rank), 9) AS avg_rank FROM k GROUP BY algorithm",
     "w4_quantile_bins": f"WITH {RESULTS}, e AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM r) SELECT dataset, algorithm, CASE WHEN value <= a THEN 1 WHEN value <= b THEN 2 WHEN value <= c THEN 3 ELSE 4 END AS bin FROM r, e",
     "w6_cumulative_ratio": f"WITH {DOCS}, c AS (SELECT source, id, sum(y) OVER o AS seen_min, sum(1 - y) OVER o AS seen_maj FROM docs WINDOW o AS (PARTITION BY source ORDER BY blanks, id ROWS UNBOUNDED PRECEDING)) SELECT source, id, seen_min::BIGINT AS seen_min, seen_maj::BIGINT AS seen_maj, round(CASE WHEN seen_min > 0 THEN seen_maj::DOUBLE / seen_min END, 9) AS ratio FROM c",
-    "h1_friedman": f"WITH {RESULTS}, {RANKS}, s AS (SELECT sum(q * q) AS q, count(*)::DOUBLE AS k, any_value(n)::DOUBLE AS n FROM (SELECT algorithm, sum(rank) AS q, count(*) AS n FROM k GROUP BY algorithm)), t AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY dataset, rank)) SELECT round((12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - t / (n * (k ** 3 - k))), 7) AS statistic, (k - 1)::INTEGER AS df, n::BIGINT AS n FROM s, t",
-    "h2_wilcoxon": f"WITH {RESULTS}, {DIFF}, {WILCOXON} SELECT * FROM w",
+    "h1_friedman": f"WITH {RESULTS}, {RANKS}, s AS (SELECT sum(q * q) AS q, count(*)::DOUBLE AS k, any_value(n)::DOUBLE AS n FROM (SELECT algorithm, sum(rank) AS q, count(*) AS n FROM k GROUP BY algorithm)), t AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY dataset, rank)) SELECT round((12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - t / (n * (k ** 3 - k))), 7) AS statistic, (k - 1)::INTEGER AS df, n::BIGINT AS n, round(exp(-c / 2) * (1 + c / 2), 7) AS p FROM (SELECT *, (12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - t / (n * (k ** 3 - k))) AS c FROM s, t)",
+    "h2_wilcoxon": f"WITH RECURSIVE {RESULTS}, {DIFF}, {WILCOXON} SELECT algorithm, n, statistic, round(p_raw, 9) AS p_raw, ties FROM w",
+    "h2_wilcoxon_holm": f"WITH RECURSIVE {RESULTS}, {DIFF}, {WILCOXON}, {HOLM} SELECT algorithm, n, statistic, round(p_raw, 9) AS p_raw, ties, round(p, 9) AS p_corrected, p < 0.05 AS significant FROM h",
+    "h2a_wilcoxon_holm_monotone": f"WITH RECURSIVE {RESULTS}, {DIFF}, {WILCOXON}, {HOLM}, g AS (SELECT *, max(p) OVER (ORDER BY p_raw, algorithm) AS q FROM h), d AS (SELECT algorithm, avg(diff) / stddev_samp(diff) AS d FROM x GROUP BY algorithm) SELECT algorithm, n, statistic, round(p_raw, 9) AS p_raw, ties, round(q, 9) AS p_corrected, q < 0.05 AS significant, round(d, 9) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS size FROM g JOIN d USING (algorithm)",
+    "h3b_critical_difference_report": f"WITH {RESULTS} SELECT count(DISTINCT algorithm) AS k, count(DISTINCT dataset) AS n, round(2.728::DOUBLE * sqrt(5 * 6 / (6.0::DOUBLE * count(DISTINCT dataset))), 9) AS cd FROM r",
+    "h7_trend": f"""WITH {RESULTS}, {NATIONS}, p AS (SELECT dataset, avg(value) FILTER (algorithm = '1-URGENT') AS x, avg(value) FILTER (algorithm = '5-LOW') AS y FROM r GROUP BY dataset),
+        o AS (SELECT dataset, imbalance AS i, x - y AS d, CASE WHEN x > y THEN 1.0::DOUBLE ELSE 0 END AS w FROM p JOIN m USING (dataset)),
+        z AS (SELECT sign(a.i - b.i) AS si, sign(a.d - b.d) AS sd, sign(a.w - b.w) AS sw FROM o a JOIN o b ON a.dataset < b.dataset),
+        k AS (SELECT sum(si * sw) / sqrt(sum(abs(si))::DOUBLE * sum(abs(sw))) AS tw, sum(si * sd) / sqrt(sum(abs(si))::DOUBLE * sum(abs(sd))) AS tg FROM z)
+        SELECT round(avg(w), 6) AS win_rate, round(avg(d), 6) AS mean_delta, round(min(d), 6) AS min_delta, round(max(d), 6) AS max_delta, count(*) AS n_datasets, round(any_value(tw), 6) AS tau_wins, round(any_value(tg), 6) AS tau_gain FROM o, k""",
+    "h9_correlations": "SELECT a, b, round(r, 9) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for a in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")",
+    "j9_with_metadata": f"WITH {RESULTS}, {NATIONS} SELECT dataset, algorithm, round(value, 6) AS value, id, round(imbalance, 6) AS imbalance FROM r LEFT JOIN (SELECT * FROM m WHERE id % 3 <> 0) USING (dataset)",
+    "j11_aligned": f"WITH {NATIONS}, s AS (SELECT s_nationkey AS id, count(*) AS suppliers, sum(s_acctbal) AS balance FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1) SELECT m.id, dataset, suppliers, round(balance, 4) AS balance FROM m LEFT JOIN s ON m.id = s.id",
+    "x8_footprints": f"WITH {RESULTS}, {NATIONS}, w AS (SELECT dataset, arg_min(algorithm, (-value, algorithm)) AS high_winner, arg_min(algorithm, (value, algorithm)) AS low_winner FROM r GROUP BY dataset) SELECT dataset, round(imbalance, 6) AS imbalance, high_winner, low_winner FROM m LEFT JOIN w USING (dataset)",
+    "x8_stress_test": f"""WITH {RESULTS}, {NATIONS}, o AS (SELECT dataset, round(imbalance, 6) AS i, algorithm FROM m JOIN (SELECT dataset, arg_min(algorithm, (-value, algorithm)) AS algorithm FROM r GROUP BY dataset) USING (dataset)),
+        e AS (SELECT quantile_cont(i, 0.25) AS a, quantile_cont(i, 0.5) AS b, quantile_cont(i, 0.75) AS c FROM o), k AS (SELECT CASE WHEN i <= a THEN 1 WHEN i <= b THEN 2 WHEN i <= c THEN 3 ELSE 4 END AS bin, algorithm FROM o, e),
+        s AS (SELECT bin, algorithm, count(*) AS wins, sum(count(*)) OVER (PARTITION BY bin)::BIGINT AS n FROM k GROUP BY bin, algorithm), z AS (SELECT *, wins / n::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM s)
+        SELECT bin, algorithm, wins, n, round(p, 9) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 9) AS lower, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 9) AS upper FROM z""",
+    "x9_selection": f"WITH {RESULTS}, {NATIONS}, b AS (SELECT dataset, arg_min(algorithm, (-value, algorithm)) AS label FROM r GROUP BY dataset), {told('b')}",
+    "x10_duel": f"WITH {RESULTS}, {NATIONS}, g AS (SELECT algorithm, row_number() OVER (ORDER BY avg(value) DESC, algorithm) AS i FROM r GROUP BY algorithm), b AS (SELECT dataset, CASE WHEN avg(value) FILTER (i = 1) > avg(value) FILTER (i = 2) THEN 1 ELSE 0 END AS label FROM r JOIN g USING (algorithm) GROUP BY dataset), {told('b')}",
+    "z1_dimension_sweep": f"""WITH {E}, d AS (SELECT x.id, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, z.v), z.id) AS rk, list_distance(x.v, z.v) AS d FROM t x JOIN t z ON x.id <> z.id),
+        g AS (SELECT unnest([5, 10, 20, 50, 100, 200, 500]) AS k), l AS (SELECT id, k, list(d ORDER BY rk) AS ds, max(rk) AS top FROM d JOIN g ON rk <= k WHERE d > 0 GROUP BY id, k),
+        o AS (SELECT k, 1 / (list_sum(list_transform(ds, lambda x: ln(ds[len(ds)]) - ln(x))) / (len(ds) - 1)) AS lid FROM l WHERE top = k)
+        SELECT k, round(avg(lid), 6) AS mean_lid, round(stddev_pop(lid), 6) AS std_lid, round(stddev_pop(lid) / avg(lid), 6) AS cv_lid FROM o GROUP BY k""",
+    "k1_label_shares": f"WITH {E}, n AS (SELECT q.id, q.label AS y, t.label AS l, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS rk FROM q, t) SELECT id, y, g.label, round(count(*) FILTER (l = g.label) / 7.0::DOUBLE, 9) AS share FROM n, (SELECT DISTINCT label FROM t) g WHERE rk <= 7 GROUP BY ALL",
+    "k1_all_rows": f"WITH {E} SELECT q.id, q.label AS y, g.label, round(g.n::DOUBLE / (SELECT count(*) FROM t), 9) AS share FROM q, (SELECT label, count(*) AS n FROM t GROUP BY label) g",
+    "s4_stored": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "s10_restored": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "s12_exported": f"WITH {RESULTS}, {RANKS} SELECT algorithm, round(avg(rank), 9) AS avg_rank FROM k GROUP BY algorithm",
     "h3_critical_difference": f"WITH {RESULTS} SELECT count(DISTINCT algorithm) AS k, count(DISTINCT dataset) AS n, round(2.728::DOUBLE * sqrt(5 * 6 / (6.0::DOUBLE * count(DISTINCT dataset))), 9) AS cd FROM r",
     "h4_cohen_d": f"WITH {RESULTS}, {DIFF} SELECT algorithm, round(avg(diff) / stddev_samp(diff), 9) AS d FROM x GROUP BY algorithm",
     "h6_spearman": f"WITH {DOCS}, k AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY blanks) + (count(*) OVER (PARTITION BY blanks) - 1) / 2.0::DOUBLE AS b FROM docs WHERE n_chars IS NOT NULL) SELECT round(corr(a, b), 9) AS rho, count(*) AS n FROM k",

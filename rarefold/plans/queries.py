@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -9,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.operators import benchmark, local_models, meta, metrics, multiclass, preprocessing, ranking, selection, votes
+from rarefold.operators import benchmark, local_models, meta, metrics, multiclass, preprocessing, ranking, selection, studies, votes
 from rarefold.operators.neighbours import class_lists, joined, nearest, sizes
 from rarefold.plans.views import counts, documents, load, results, vectors
-from rarefold.sources.tables import LabelledTable, completed
+from rarefold.sources.tables import LabelledTable, ResultStore, completed, exported
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +187,8 @@ for _name, _model in (
     ("a3_knn_topology", "knn_topology"),
     ("a4_knn_two_anchors", "knn_two_anchors"),
     ("k6_knn_local_metric", "knn_local_metric"),
+    ("k6_knn_local_metric_entropy", "knn_local_metric_entropy"),
+    ("k6_knn_local_metric_eigen", "knn_local_metric_eigen"),
     ("l4_rank_vote_density_regions", "rank_density_regions"),
     ("t1_rank_vote_regions", "rank_regions"),
     ("t2_rank_vote_trusted_regions", "rank_trusted_regions"),
@@ -265,7 +268,43 @@ def p12_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s9_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").where(~F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Rows of two algorithms dropped from a result store, which is read again."""
+    return stored(spark, sf_dir, lambda store: store.drop("algorithm", ["click", "view", "unknown"])).withColumnRenamed("algorithm", "event_type")
+
+
+def stored(spark: SparkSession, sf_dir: str, change: Callable[[ResultStore], object]) -> DataFrame:
+    """Counts by algorithm of a store of events after a change. The store lies in the folder that the cluster names, or under the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = ResultStore(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.append(load(spark, sf_dir, "events").select(F.col("event_type").alias("algorithm"), F.lit("events").alias("dataset"), "value", (F.col("event_id") % 10).alias("fold")))
+    change(store)
+    return store.load().groupBy("algorithm").agg(F.count("*").alias("n"))
+
+
+@query
+def s4_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, lambda store: None).withColumnRenamed("algorithm", "event_type")
+
+
+@query
+def s10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot, a deletion, and the snapshot restored."""
+
+    def change(store: ResultStore) -> None:
+        store.save("whole")
+        store.drop("algorithm", ["click"])
+        store.restore("whole")
+
+    return stored(spark, sf_dir, change).withColumnRenamed("algorithm", "event_type")
+
+
+@query
+def s12_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary as CSV, read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    exported(ranking.average_ranks(results(spark, sf_dir)), path, ["algorithm"])
+    return rounded(spark.read.option("header", True).schema("algorithm string, avg_rank double").csv(path))
 
 
 # metrics
@@ -342,17 +381,18 @@ over_results("g11_quartiles", quartiles, 6)
 over_results("g12_deltas", deltas, 6)
 over_results("g13_winners", ranking.winners, 6)
 over_results("g13_win_rates", win_rates)
-over_results("g14_bootstrap", lambda d: ranking.bootstrap(d, 200), 5)
+over_results("g14_bootstrap", lambda d: ranking.bootstrap(d, 2000), 5)
 over_results("w3_average_ranks", ranking.average_ranks)
 over_results("w4_quantile_bins", lambda d: ranking.quantile_bins(d, "value").drop("value"))
-over_results("h1_friedman", lambda d: ranking.friedman(d).drop("p"), 7)
-over_results("h2_wilcoxon", lambda d: ranking.wilcoxon(d, "5-LOW").drop("p_raw"))
+over_results("h1_friedman", ranking.friedman, 7)
+over_results("h2_wilcoxon", lambda d: ranking.wilcoxon(d, "5-LOW"))
 over_results("h2_wilcoxon_holm", lambda d: ranking.holm(ranking.wilcoxon(d, "5-LOW")))
-over_results("h2a_wilcoxon_holm_monotone", lambda d: ranking.holm(ranking.wilcoxon(d, "5-LOW"), monotone=True))
+over_results("h2a_wilcoxon_holm_monotone", lambda d: ranking.paired_report(d, "5-LOW"))
+over_results("h3b_critical_difference_report", lambda d: ranking.critical_difference(d, ranking.Q_05_REPORT, ranking.Q_OTHER_REPORT))
 over_results("h3_critical_difference", ranking.critical_difference)
 over_results("h4_cohen_d", lambda d: ranking.cohen_d(d, "5-LOW").drop("size"))
 over_results("h5_separated", ranking.separated)
-over_results("h7_kendall", paired)
+over_results("h7_kendall", lambda d: paired(d).drop("p"))
 
 
 @query
@@ -393,7 +433,74 @@ def w6_cumulative_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def h6_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.spearman(documents(spark, sf_dir), "n_chars", "blanks"))
+    return rounded(ranking.spearman(documents(spark, sf_dir), "n_chars", "blanks").drop("p"))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets of the result table with features: dataset, id, v (customers, their mean balance and its spread, scaled by hand) and imbalance."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    own = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("dataset"), F.col("n_nationkey").cast("long").alias("id"))
+    per = own.agg(F.count("*").cast("double").alias("a"), F.avg("c_acctbal").alias("b"), F.avg((F.col("c_acctbal") < 0).cast("double")).alias("c"))
+    return per.select("dataset", "id", F.array(F.ln("a"), F.col("b") / 1000, F.col("c") * 10).alias("v"), (F.col("a") / (1 + F.col("c") * F.col("a"))).alias("imbalance"))
+
+
+@query
+def h7_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ranking.trend(results(spark, sf_dir), "1-URGENT", "5-LOW", nations(spark, sf_dir), "imbalance")
+    return rounded(own.drop("p_wins", "p_gain", "verdict"), 6)
+
+
+@query
+def h7_trend_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.trend(results(spark, sf_dir), "1-URGENT", "5-LOW", nations(spark, sf_dir), "imbalance"))
+
+
+@query
+def h9_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.correlations(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@query
+def j9_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results beside their datasets' features, of which some datasets have none."""
+    known = nations(spark, sf_dir).where("id % 3 <> 0").select("dataset", "id", "imbalance")
+    return rounded(ranking.with_metadata(results(spark, sf_dir), known), 6)
+
+
+@query
+def j11_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' balances by nation, in the order of the customers' nations."""
+    s = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count("*").alias("suppliers"), F.sum("s_acctbal").alias("balance"))
+    return rounded(ranking.aligned(s.where("id % 4 <> 0"), nations(spark, sf_dir).select("id", "dataset"), "id"), 4)
+
+
+@query
+def x8_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = results(spark, sf_dir).select("dataset", "algorithm", F.col("value").alias("high"), (-F.col("value")).alias("low"))
+    return rounded(ranking.winner_map(o, nations(spark, sf_dir).select("dataset", "imbalance"), ["high", "low"]), 6)
+
+
+@query
+def x8_stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.stress_test(x8_footprints(spark, sf_dir), "high_winner", "imbalance"))
+
+
+@query
+def x9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best priority of a nation told from the others by its customers."""
+    return rounded(studies.selection_accuracy(nations(spark, sf_dir), studies.choices(results(spark, sf_dir))))
+
+
+@query
+def x9_selection_by_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")).where("id < 12")
+    return rounded(studies.selection_accuracy(nations(spark, sf_dir).join(own, "id", "left_semi"), studies.choices(results(spark, sf_dir)), studies.LEARNERS["ranks"]))
+
+
+@query
+def x10_duel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = results(spark, sf_dir)
+    return rounded(studies.selection_accuracy(nations(spark, sf_dir), studies.duel(own, *studies.leading_pair(own))))
 
 
 @query
@@ -415,6 +522,54 @@ def g10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
 
 
+def label_tables(spark: SparkSession, sf_dir: str, labels: Sequence[int]) -> dict[str, DataFrame]:
+    """A table per label: that label against the rest."""
+    t = vectors(spark, sf_dir, classes=True)[1]
+    return {f"label {c}": t.withColumn("y", (F.col("y") == c).cast("int")) for c in labels}
+
+
+@query
+def g17_votes_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean score of each number of votes on each of three tables, the best of each, and how many are within half a percent with five."""
+    out = None
+    for name, t in label_tables(spark, sf_dir, (0, 1, 2)).items():
+        one = selection.grid_scores(selection.folds(t, 5), (1.0,), (1, 2, 3, 5, 7, 10, 15)).select(F.lit(name).alias("dataset"), "n_votes", F.round("score", 12).alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return ranking.peaks(out)
+
+
+@query
+def z6_odds_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.odds_errors(spark))
+
+
+@query
+def z7_rank_one_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.rank_one_ratios(spark))
+
+
+@query
+def z8_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.exponents_and_dimensions(label_tables(spark, sf_dir, (0, 1, 2, 3))))
+
+
+@query
+def z10_bias_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.bias_curve(spark))
+
+
+@query
+def k1_label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = vectors(spark, sf_dir, classes=True)
+    return rounded(multiclass.label_shares(q, t, 7))
+
+
+@query
+def k1_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = vectors(spark, sf_dir, classes=True)
+    return rounded(multiclass.label_shares(q, t, 0))
+
+
 @query
 def z11_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level means of the datasets with ten rows at least, and how they differ from those of all."""
@@ -433,6 +588,10 @@ def w7_rank_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 # features of tables
 
 
+def meta_sweep(t: DataFrame) -> DataFrame:
+    return studies.dimension_sweep(t, (5, 10, 20, 50, 100, 200, 500))
+
+
 def over_vectors(name: str, of: Callable[[DataFrame], DataFrame], digits: int = 9) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(of(vectors(spark, sf_dir)[1]), digits)
@@ -443,6 +602,7 @@ def over_vectors(name: str, of: Callable[[DataFrame], DataFrame], digits: int =
 
 over_vectors("x5_histogram_entropy", meta.histogram_entropy)
 over_vectors("x6_graph_features", meta.graph_features)
+over_vectors("z1_dimension_sweep", meta_sweep, 6)
 over_vectors("z2_effective_dimension", meta.effective_dimension)
 
 

@@ -109,6 +109,8 @@ class ResultStore:
         return fs.exists(path(f"{self.path}/{tag}/_SUCCESS"))
 
     def load(self, tag: str = "current") -> DataFrame | None:
+        if tag == "current" and not self.exists() and self.exists("next"):  # a change stopped between its two renames
+            self._rename("next", "current")
         return self.spark.read.parquet(f"{self.path}/{tag}") if self.exists(tag) else None
 
     def append(self, rows: DataFrame) -> None:
@@ -136,11 +138,16 @@ class ResultStore:
         fs, path = self._fs()
         return sorted(s.getPath().getName().removeprefix("snapshot_") for s in fs.globStatus(path(f"{self.path}/snapshot_*")))
 
-    def _replace(self, rows: DataFrame) -> None:
+    def _rename(self, tag: str, to: str) -> None:
         fs, path = self._fs()
+        fs.delete(path(f"{self.path}/{to}"), True)
+        if not fs.rename(path(f"{self.path}/{tag}"), path(f"{self.path}/{to}")):
+            raise OSError(f"{self.path}/{tag} could not be renamed")
+
+    def _replace(self, rows: DataFrame) -> None:
+        """The rows are whole, as next, before current is touched; load() ends a change that stopped here."""
         self._copy(rows, "next")
-        fs.delete(path(f"{self.path}/current"), True)
-        fs.rename(path(f"{self.path}/next"), path(f"{self.path}/current"))
+        self._rename("next", "current")
 
     def drop(self, column: str, names: Sequence[str]) -> tuple[list[str], list[str]]:
         """Rows of the named algorithms or datasets go, after a backup; gives the names found and those not."""
@@ -160,3 +167,8 @@ class ResultStore:
 def completed(rows: DataFrame, n_folds: int) -> DataFrame:
     good = rows.where("error is null") if "error" in rows.columns else rows
     return good.groupBy("dataset", "algorithm").agg(F.count("*").alias("n")).where(F.col("n") >= n_folds).select("dataset", "algorithm")
+
+
+def exported(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """An analytic table as one CSV file with a header, in the folder path, in an order of its rows (S12). Such a table has a row per algorithm or dataset."""
+    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
