@@ -113,12 +113,15 @@ def trained(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text:
 
     Only so many ids, a fixed number whatever the size of the tables, are
     broadcast, and only their features are sent to the driver. Ids without one
-    clear label (null, or both) are left out.
+    clear label (null, or both) are left out; of rows that share an id, the text
+    that is first in order of bytes counts. Null texts are empty; without any label
+    all weights are 0. Other columns of docs and labels are not read.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.min(label).alias("y_"), F.max(label).alias("y2_")).where("y_ = y2_")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id_"), F.col("y_").cast("int").alias("y_"))
-    own = docs.join(F.broadcast(known), F.col("doc_id") == F.col("id_")).select("id_", "y_", utf8(text).alias("bytes_"))
+    each = docs.select(F.col("doc_id").alias("doc_"), utf8(text).alias("bytes_")).join(F.broadcast(known), F.col("doc_") == F.col("id_"))
+    own = each.groupBy("id_", "y_").agg(F.min("bytes_").alias("bytes_"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
@@ -133,7 +136,12 @@ def trained(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text:
 
 
 def scored(docs: DataFrame, weights: np.ndarray, *, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with score, the chance of label 1 by the whole text: a sparse dot product. Null texts are empty, and get the intercept's."""
+    """docs with score, the chance of label 1 by the whole text: a sparse dot product.
+
+    Null texts are empty, and get the intercept's. Texts may have any length, equal
+    texts get equal scores, ids are not read; an empty table gives none. A column of
+    docs that is named like score is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

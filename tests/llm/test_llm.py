@@ -555,3 +555,30 @@ def test_pipeline(spark, tmp_path):
     assert not any("abcdefghijk" in t for t in seen["secret_scans"].values())
     packed = {r["doc_id"] for r in rows(corpus_pipeline.run(spark, str(tmp_path)))}
     assert packed == set(seen["secret_scans"]) and len(packed) > 100
+
+
+def test_pipeline_stages_keep_rows_and_columns_of_any_name(spark, tmp_path):
+    """Null and repeated ids, columns that are named like the operators' own, null and very long texts."""
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    text = lambda n=60: " ".join(rnd.choice("sun moon river stone cloud tree of the and by".split()) + str(rnd.randrange(40)) for _ in range(n))
+    texts = [text() for _ in range(4)]
+    extra = ["kept", "n_words", "spans", "score_", "score", "id_", "row_", "uid", "n", "d1", "lead", "bytes_", "safe_text", "others_", "none", "key_"]
+    data = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (7, None), (8, text(30000)), (9, texts[0] + " AKIA" + "Q" * 16), (None, texts[1])]
+    own = spark.createDataFrame([(i, t, "en", None, len(t or "")) + tuple(f"own {c}" for c in extra) for i, t in data], DOCS + "".join(f", {c} string" for c in extra))
+    spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {"quality_rules": {t for _, t in data if t}, "quality_classifier": {t for _, t in data}, "minhash_near_dedup": {t for _, t in data if t not in (None, data[7][1])} - {texts[0]}, "secret_scans": {t for _, t in data}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = rows(stage(spark, own, str(tmp_path)))
+        assert stage(spark, own.limit(0), str(tmp_path)).count() == 0
+        assert all(tuple(r[c] for c in extra) == tuple(f"own {c}" for c in extra) for r in got)
+        seen = {r["text"] for r in got}
+        if name == "minhash_near_dedup":
+            assert len(got) == len({t for _, t in data if t}) - 1 + 1 and seen >= want[name] and None in seen
+            assert {(r["doc_id"], r["text"]) for r in got} >= {(5, texts[2]), (5, texts[3]), (None, texts[1])}
+        elif name == "secret_scans":
+            assert len(got) == len(data) and {r["text"] for r in got if r["doc_id"] == 9} == {texts[0] + " <access>"}
+        else:
+            assert seen == want[name] and len(got) == sum(t in want[name] for _, t in data)
+    assert corpus_pipeline.packing_stage(spark, own, str(tmp_path)).selectExpr("sum(length)").first()[0] > 0
