@@ -11,7 +11,6 @@ of about equal weight.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,20 +160,23 @@ class Attention:
         p, n, d = self.p, len(x), WIDTH
         h, q, k2, v2, s, c, h1, a, h2 = self.forward(x, before)
         ok = good.ravel()
+        share, use_ones = (ok / max(1, ok.sum())).astype(np.float32), np.ones(len(ok), np.float32)
         loss, g, dh2 = 0.0, {"W2": np.zeros_like(p["W2"]), "b2": np.zeros_like(p["b2"])}, np.zeros_like(h2)
         for w, bias, k, rows, own, z, right in self.parts(h2, slot.ravel()):
-            use = ok if rows is None else ok[rows]
+            use = share if rows is None else share[rows]
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            loss -= float(np.log(z[np.arange(len(z)), right] + 1e-20)[use].sum()) / max(1, ok.sum())
-            z[np.arange(len(z)), right] -= 1
-            z *= (use / max(1, ok.sum()))[:, None].astype(z.dtype)
+            one = np.ones(z.shape[1], z.dtype)
+            z *= (1 / (z @ one))[:, None]
+            at = np.arange(len(z))
+            loss -= float(np.log(z[at, right] + 1e-20) @ use)
+            z[at, right] -= 1
+            z *= use[:, None]
             if k is None:
-                g[w], g[bias] = own.T @ z, z.sum(axis=0)
+                g[w], g[bias] = own.T @ z, use_ones[: len(z)] @ z
                 dh2 += z @ p[w].T
             else:
-                g[w][k], g[bias][k] = own.T @ z, z.sum(axis=0)
+                g[w][k], g[bias][k] = own.T @ z, use_ones[: len(z)] @ z
                 dh2[rows] += z @ p[w][k].T
         two = lambda y: y.reshape(-1, y.shape[-1])
         dh2 = dh2.reshape(n, STRIDE, d)
@@ -189,14 +191,16 @@ class Attention:
         g["D"] = np.bincount(np.clip(FAR, 0, 2 * STRIDE - 1).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
         dq, dk2 = ds @ k2, ds.transpose(0, 2, 1) @ q
         dk, dv = dk2[:, STRIDE:].copy(), dv2[:, STRIDE:].copy()
-        has = before >= 0
-        np.add.at(dk, before[has], dk2[has, :STRIDE])
-        np.add.at(dv, before[has], dv2[has, :STRIDE])
+        has = before >= 0  # a row is before one other at most
+        dk[before[has]] += dk2[has, :STRIDE]
+        dv[before[has]] += dv2[has, :STRIDE]
         root = np.float32(math.sqrt(d))
         g |= {"Q": two(h).T @ two(dq) / root, "K": two(h).T @ two(dk), "V": two(h).T @ two(dv)}
         dh = dh1 + dq @ p["Q"].T / root + dk @ p["K"].T + dv @ p["V"].T
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], x.ravel(), two(dh))
+        order = np.argsort(x.ravel(), kind="stable")
+        own, first = np.unique(x.ravel()[order], return_index=True)
+        g["E"][own] = np.add.reduceat(two(dh)[order], first)
         return loss, g
 
     def fit(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray, good: np.ndarray, steps: int = 1500, rows: int = 256, rate: float = 0.02) -> Attention:
@@ -287,28 +291,26 @@ def averaged(model: Attention, total: np.ndarray, weight: np.ndarray) -> Attenti
     return model
 
 
-def trained(docs: DataFrame, path: str, slots: Slots, model: Attention, n_ids: int) -> Attention:
-    """The model after ROUNDS of training over docs (bytes_), every one of them: in a round, each task learns from its part of the round's documents, and the driver gets the sums.
+def trained(docs: DataFrame, slots: Slots, model: Attention, n_ids: int) -> Attention:
+    """The model after ROUNDS of training over docs (uid, ids), every one of them: in a round, each task learns from its part of the round's documents, and the driver gets the sums.
 
     Documents are dealt to the rounds by hash; those of a corpus of under LEAST
-    ids take part in all rounds. Sums are made in FAN groups first.
+    ids take part in all rounds. Sums are made in FAN groups first, so that what
+    reaches the driver has one size whatever the corpus.
     """
     passes = -(-LEAST // max(1, n_ids))
     sent = docs.sparkSession.sparkContext.broadcast(slots)
-    deal = F.pmod(F.xxhash64("bytes_"), F.lit(1 if passes > 1 else ROUNDS))
+    deal = F.pmod(F.xxhash64("uid"), F.lit(1 if passes > 1 else ROUNDS))
     repeats = -(-passes // ROUNDS)
 
     def one(r: int, start: dict[str, np.ndarray]):  # noqa: ANN202
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            encode = encoder(path)
-
             def groups() -> Iterator[list[np.ndarray]]:
                 held, size = [], 0
                 for batch in batches:
-                    for low in range(0, len(batch), 64):
-                        for ids in encode([b.lower() for b in batch["bytes_"].iloc[low : low + 64]]):
-                            held.append(np.frombuffer(ids, "<u4"))
-                            size += len(ids) // 4 + STRIDE
+                    for ids in batch["ids"]:
+                        held.append(unpacked(ids))
+                        size += len(held[-1]) + STRIDE
                         if size >= GROUP:
                             yield held
                             held, size = [], 0
@@ -328,50 +330,71 @@ def trained(docs: DataFrame, path: str, slots: Slots, model: Attention, n_ids: i
 
     for r in range(ROUNDS):
         own = docs if passes > 1 else docs.where(deal == r)
-        got = own.select("bytes_").mapInPandas(one(r, model.p), SUMS).groupBy("fan").applyInPandas(summed, SUMS).orderBy("fan").collect()
+        got = own.select("ids").mapInPandas(one(r, model.p), SUMS).groupBy("fan").applyInPandas(summed, SUMS).orderBy("fan").collect()
         if got:
             model = averaged(model, *(sum(np.frombuffer(row[c]) for row in got) for c in ("total", "weight")))
     return model
 
 
-PARTS = "block long, doc_id long, held_out boolean, bytes_ binary, word long, n long"
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as 16 bits each where they fit, else as 32; the last byte says which."""
+    return ids.astype("<u2").tobytes() + b"\2" if ids.max(initial=0) < 1 << 16 else ids.astype("<u4").tobytes() + b"\4"
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[-1]}", (len(data) - 1) // data[-1])
+
+
+PARTS = "uid long, block long, doc_id long, held_out boolean, ids binary, words binary, place int, word long, n long"
 
 
 def parts(docs: DataFrame, text: str, tokenizer: str, ids: int) -> DataFrame:
-    """A stored table of three kinds of rows: documents by block; each block's words, with their counts in its training documents (ends have word 0); and ids' counts (block -1, the end last)."""
+    """A stored table of three kinds of rows, from which nothing is encoded again.
+
+    Documents: subword ids, and words by their places in the block's list; each
+    block's words: place, hash and count in its training documents (ends have
+    place 0); and ids' counts there (block -1, the end last).
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 24
-        encode, held, size = encoder(tokenizer), [], 0
-        counts = np.zeros(ids + 1, np.int64)
-
-        def done() -> pd.DataFrame:
-            found: Counter = Counter()
-            for words, train in held:
-                if train:
-                    found.update(words)
-            pieces = list(encode(list(found)))
-            times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), np.fromiter((len(x) // 4 for x in pieces), np.int64, len(found)))
-            counts[:] += np.bincount(np.frombuffer(b"".join(pieces), "<u4"), times, ids + 1).astype(np.int64)
-            ends = sum(t for _, t in held)
-            counts[-1] += ends
-            for words, train in held:
-                if not train:
-                    found.update(dict.fromkeys(words, 0))
-            rows = pd.DataFrame({"block": block, "word": np.fromiter((hashed(w) for w in found), np.int64, len(found)), "n": np.fromiter(found.values(), np.int64, len(found))})
-            return pd.concat([rows, pd.DataFrame({"block": [block], "word": [END], "n": [ends]})])
+        uid = TaskContext.get().partitionId() << 33
+        encode, counts = encoder(tokenizer), np.zeros(ids + 1, np.int64)
+        place: dict[bytes, int] = {}
+        tally, ends, size = np.zeros(1 << 16, np.int64), 0, 0
+
+        def numbers(words: list[bytes]) -> np.ndarray:
+            found = list(map(place.get, words))
+            if None in found:
+                found = [place.setdefault(w, len(place) + 1) for w in words]
+            return np.array(found, np.uint32)
+
+        def listed() -> pd.DataFrame:
+            hashes = np.fromiter(map(hashed, place), np.int64, len(place))
+            return pd.DataFrame({"block": block, "place": np.arange(len(place) + 1), "word": np.append(END, hashes), "n": np.append(ends, tally[1 : len(place) + 1])})
 
         for batch in batches:
             for low in range(0, len(batch), 256):
-                part = batch.iloc[low : low + 256]
-                yield shaped(part.assign(block=block))
-                for b, h in zip(part["bytes_"], part["held_out"], strict=True):
-                    held.append((b.lower().split(), not h))
-                    size += len(b)
+                rows = batch.iloc[low : low + 256]
+                lowered = [b.lower() for b in rows["bytes_"]]
+                own = [numbers(b.split()) for b in lowered]
+                bodies = [np.frombuffer(x, "<u4") for x in encode(lowered)]
+                train = ~rows["held_out"].to_numpy(bool)
+                while len(place) + 1 > len(tally):
+                    tally = np.concatenate([tally, np.zeros_like(tally)])
+                none = np.zeros(0, np.int64)
+                tally += np.bincount(np.concatenate([none, *[w for w, t in zip(own, train, strict=True) if t]]).astype(np.int64), minlength=len(tally))
+                counts += np.bincount(np.concatenate([none, *[b for b, t in zip(bodies, train, strict=True) if t]]).astype(np.int64), minlength=ids + 1)
+                counts[-1] += train.sum()
+                ends += int(train.sum())
+                yield shaped(rows.assign(uid=np.arange(uid, uid + len(rows)), block=block, ids=[packed(x) for x in bodies], words=[w.tobytes() for w in own]))
+                uid += len(rows)
+                size += sum(map(len, lowered))
                 if size >= BLOCK_BYTES:
-                    yield shaped(done())
-                    held, size, block = [], 0, block + 1
-        yield shaped(done())
+                    yield shaped(listed())
+                    place.clear()
+                    tally, ends, size, block = np.zeros(1 << 16, np.int64), 0, 0, block + 1
+        yield shaped(listed())
         known = np.flatnonzero(counts)
         yield shaped(pd.DataFrame({"block": -1, "word": known, "n": counts[known]}))
 
@@ -381,10 +404,12 @@ def parts(docs: DataFrame, text: str, tokenizer: str, ids: int) -> DataFrame:
 
 def shaped(df: pd.DataFrame) -> pd.DataFrame:
     out = df.reindex(columns=[c.split()[0] for c in PARTS.split(", ")])
-    for c in ("doc_id", "word", "n"):
+    for c in ("uid", "doc_id", "word", "n"):
         out[c] = pd.array(out[c], dtype="Int64")
+    out["place"] = pd.array(out["place"], dtype="Int32")
     out["held_out"] = out["held_out"].astype("boolean")
-    out["bytes_"] = out["bytes_"].astype(object).where(out["bytes_"].notna(), None)
+    for c in ("ids", "words"):
+        out[c] = out[c].astype(object).where(out[c].notna(), None)
     return out
 
 
@@ -394,14 +419,35 @@ def hashed(word: bytes) -> int:
     return (h - (1 << 64) if h >> 63 else h) or 1
 
 
+def word_scores(table: DataFrame, counts: DataFrame, total: int, kinds: int) -> DataFrame:
+    """uid, n_tokens, n_known and base_score of each document: a block's documents meet the counts of the block's own words."""
+    words = table.where("block >= 0 and word is not null").select(F.col("block").alias("by"), "place", "word")
+    asked = words.join(counts, "word").select("by", "place", "c")
+
+    def each(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        c = known.sort_values("place")["c"].to_numpy(np.int64)
+        log = np.log10((c + 1) / (total + kinds + 1))
+        out = []
+        for uid, data in zip(rows["uid"], rows["words"], strict=True):
+            at = np.append(np.frombuffer(data, "<u4"), 0)
+            out.append((uid, len(at), int((c[at] > 0).sum()), float(log[at].sum())))
+        return pd.DataFrame(out, columns=["uid", "n_tokens", "n_known", "base_score"])
+
+    own = table.where("ids is not null").select("block", "uid", "words")
+    return own.groupBy("block").cogroup(asked.groupBy("by")).applyInPandas(each, "uid long, n_tokens long, n_known long, base_score double")
+
+
 def scored(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out of all counts
-    and training. A null text is empty, and has its end alone; rows may repeat;
+    and training. A null text is empty, and has its end alone; texts may have any
+    length; rows may repeat, with equal or null ids; an empty table gives none;
     without training documents the model keeps its first weights, else it is
-    trained on all of them. Words' counts
-    travel by block of documents: a block asks for its own distinct words only.
+    trained on all of them. Other columns of docs, whatever their names, are not
+    read. Words' counts travel by block of documents: a block asks for its own
+    distinct words only. The model scores documents where they are stored, each
+    task its share of their bytes.
     """
     from tokenizers import Tokenizer
 
@@ -409,7 +455,7 @@ def scored(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None)
     ids = Tokenizer.from_file(path).get_vocab_size()
     spark = docs.sparkSession
     table = parts(docs, text, path, ids)
-    words = table.where("block >= 0 and word is not null").select("block", "word", "n")
+    words = table.where("block >= 0 and word is not null")
     counts = written(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
 
@@ -418,43 +464,29 @@ def scored(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None)
         seen[k] = c
     slots = Slots(seen)
     model = Attention(slots.weight)
-    own = table.where("bytes_ is not null and not held_out")
-    chosen = own.orderBy(F.xxhash64("doc_id"), F.xxhash64("bytes_")).limit(START).select("bytes_")
-    sample = [np.frombuffer(b, "<u4") for b in encoder(path)([r[0].lower() for r in chosen.collect()])]
+    own = table.where("ids is not null and not held_out")
+    chosen = [r[0] for r in own.select("uid", F.xxhash64("doc_id").alias("h")).orderBy("h", "uid").limit(START).select("uid").collect()]
+    sample = [unpacked(r[0]) for r in own.where(F.col("uid").isin(chosen)).orderBy("uid").select("ids").collect()]  # START texts
     if sample:
         x, before, follow, here, _ = laid_out(sample, slots)
-        model = trained(own, path, slots, model.fit(x, before, slots.slot[follow], here, steps=400), int(seen.sum()))
+        model = trained(own, slots, model.fit(x, before, slots.slot[follow], here, steps=400), int(seen.sum()))
     sent = spark.sparkContext.broadcast((slots, model))
 
-    def each(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, model = sent.value
-        known = asked.sort_values("word")
-        at, c = known["word"].to_numpy(np.int64), known["c"].to_numpy(np.int64)
-        base, n, hits = [], [], []
-        split = [b.lower().split() for b in rows["bytes_"]]
-        number = {w: k for k, w in enumerate(set().union(*split))}
-        own = c[np.searchsorted(at, np.fromiter((hashed(w) for w in number), np.int64, len(number)))] if number else np.zeros(0, np.int64)
-        end = int(c[np.searchsorted(at, END)])
-        log = np.log10((own + 1) / (total + kinds + 1))
-        last = math.log10((end + 1) / (total + kinds + 1))
-        for ws in split:
-            k = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-            base.append(float(log[k].sum()) + last)
-            n.append(len(ws) + 1)
-            hits.append(int((own[k] > 0).sum()) + (end > 0))
-        bodies = [np.frombuffer(x, "<u4") for x in encoder(path)([b.lower() for b in rows["bytes_"]])]
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(rows["doc_id"], dtype="Int64"),
-                "held_out": rows["held_out"].to_numpy(bool),
-                "n_tokens": n,
-                "n_known": hits,
-                "train_tokens": total,
-                "base_score": base,
-                "score": scores(bodies, slots, model),
-            }
-        )
-
-    asked = words.select(F.col("block").alias("by"), "word").join(counts, "word").select("by", "word", "c")
-    own = table.where("bytes_ is not null").select("block", "doc_id", "held_out", "bytes_")
-    return own.groupBy("block").cogroup(asked.groupBy("by")).applyInPandas(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.iloc[low : low + 256]
+                yield pd.DataFrame(
+                    {
+                        "uid": part["uid"],
+                        "doc_id": pd.array(part["doc_id"], dtype="Int64"),
+                        "held_out": part["held_out"].to_numpy(bool),
+                        "train_tokens": total,
+                        "score": scores([unpacked(x) for x in part["ids"]], slots, model),
+                    }
+                )
+
+    by_model = table.where("ids is not null").select("uid", "doc_id", "held_out", "ids").mapInPandas(each, "uid long, doc_id long, held_out boolean, train_tokens long, score double")
+    out = by_model.join(word_scores(table, counts, total, kinds), "uid")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -316,25 +316,67 @@ def test_lm_chances_sum_to_one_and_windows_agree():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 3000, 70).astype("<u4")
     x, before, follow, here, _ = lm_scoring.laid_out([text], slots)
-    every = np.arange(len(slots.slot))
-    for row, col in ((0, 0), (2, 5)):
-        total = 0.0
-        for k in range(0, len(every), len(x)):
-            f = follow.copy()
-            got = []
-            for i in every[k : k + len(x)]:
-                f[row, col] = i
-                got.append(model.log10(x, before, slots.slot[f])[row, col] + slots.share[i])
-            total += (10.0 ** np.array(got)).sum()
-            if k > 400:
-                break
-        assert total < 1.0001
+    shares = np.bincount(slots.slot, 10.0 ** slots.share.astype(float), lm_scoring.SLOTS)
+    for row, col in ((0, 0), (2, 5), (4, 6)):
+        total, slot = 0.0, slots.slot[follow]
+        for k in range(lm_scoring.SLOTS):  # every slot, with the ids that it holds
+            slot = slot.copy()
+            slot[row, col] = k
+            total += 10.0 ** float(model.log10(x, before, slot)[row, col]) * (shares[k] or 1)
+        assert abs(total - 1) < 1e-3
     whole = lm_scoring.scores([text, text[:3], text[:0]], slots, model)
     lm_scoring.ROWS, old = 2, lm_scoring.ROWS
     assert np.allclose(lm_scoring.scores([text, text[:3], text[:0]], slots, model), whole, rtol=1e-5)
     lm_scoring.ROWS = old
 
 
+def plain_attention(model, slots, text):
+    """The chance of a text by the definition, one id at a time, in doubles: each attends to its own and the last block."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    stride, d = lm_scoring.STRIDE, lm_scoring.WIDTH
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    ids = [0, *[int(slots.input[i]) for i in text]]
+    follow, total = [*text.tolist(), len(slots.slot) - 1], 0.0
+    for t in range(len(ids)):
+        first = max(0, (t // stride - 1) * stride)
+        h = p["E"][ids[first : t + 1]]
+        s = soft(h @ p["K"] @ (p["Q"].T @ h[-1]) / math.sqrt(d) + np.array([p["D"][t - k] for k in range(first, t + 1)]))
+        h1 = h[-1] + (s @ (h @ p["V"])) @ p["O"]
+        h2 = h1 + np.maximum(h1 @ p["A"], 0) @ p["B"]
+        slot = int(slots.slot[follow[t]])
+        c, leaf = divmod(slot, lm_scoring.LEAVES)
+        chance = soft(h2 @ p["W"] + p["b"])[c] * soft(h2 @ p["W2"][c] + p["b2"][c])[leaf]
+        total += math.log10(chance) + float(slots.share[follow[t]])
+    return total
+
+
+def test_lm_scores_are_those_of_plain_attention():
+    rng = np.random.default_rng(3)
+    slots = lm_scoring.Slots(np.append(rng.integers(1, 900, 2500), 40))
+    model = lm_scoring.Attention(slots.weight)
+    model.p["D"] = rng.standard_normal(2 * lm_scoring.STRIDE).astype(np.float32)
+    texts = [rng.integers(0, 2500, n).astype("<u4") for n in (0, 1, 15, 16, 17, 100, 333)]
+    got = lm_scoring.scores(texts, slots, model)
+    assert np.allclose(got, [plain_attention(model, slots, t) for t in texts], rtol=1e-4)
+
+
+def test_lm_gradient_is_the_slope():
+    rng = np.random.default_rng(4)
+    slots = lm_scoring.Slots(np.append(rng.integers(1, 90, 2000), 40))
+    model = lm_scoring.Attention(slots.weight)
+    x, before, follow, here, _ = lm_scoring.laid_out([rng.integers(0, 2000, n).astype("<u4") for n in (40, 3, 90)], slots)
+    slot = slots.slot[follow]
+    _, g = model.gradient(x, before, slot, here)
+    for name in g:
+        way = rng.standard_normal(model.p[name].shape).astype(np.float32)
+        loss = []
+        for step in (0.01, -0.01):
+            model.p[name] += step * way
+            loss.append(model.gradient(x, before, slot, here)[0])
+            model.p[name] -= step * way
+        assert abs((loss[0] - loss[1]) / 0.02 - float((g[name] * way).sum())) < 0.02 * max(1, abs(loss[0] - loss[1]) / 0.02), name
+
+
 def test_lm_gradient_and_training():
     slots = lm_scoring.Slots(np.append(np.full(300, 7), 3))
     model = lm_scoring.Attention(slots.weight)
