@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -24,97 +22,139 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
 }
-CUE = re.compile(r"licen[sc]|permission is hereby granted|redistribut|free software|creative commons|released under", re.I)
 WORD = re.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9]")
 SCHEMA = "array<struct<license:string,start:int,end:int,wording:string,saved:int>>"
-#: Code points on either side of a cue that its block reaches at least, over line ends, and further where the words of the longest notice do, as they do where lines are indented. Cues nearer than that share a block.
-REACH = 400
+
+
+class Notice:
+    """A template's words, how many may differ, and a compressor whose raw dictionary they are, with single spaces as in blocks."""
+
+    def __init__(self, name: str, text: str, tolerance: float) -> None:
+        import zstandard
+
+        self.name, self.words = name, [w.lower() for w in WORD.findall(text)]
+        own = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.slack = int(tolerance * len(self.words))
+        self.compress = zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False).compress
+
+    def pieces(self) -> list[tuple[int, list[str]]]:
+        """Places and words of slack + 1 pieces: where at most slack words differ, one of them stands unchanged."""
+        ends = [round(k * len(self.words) / (self.slack + 1)) for k in range(self.slack + 2)]
+        return [(a, self.words[a:b]) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+    def differences(self, own: list[str], start: int) -> tuple[int, int, str] | None:
+        """The place near word start where the notice stands, and its differences (-word and +word), if few enough and none of a word with digits."""
+        if start >= 0 and own[start : start + len(self.words)] == self.words:
+            return start, start + len(self.words), ""
+        # fewest words changed, left out or added, with the words before and after the notice free
+        low = max(0, start - self.slack)
+        window, far = own[low : max(0, start + len(self.words) + self.slack)], len(self.words) + 1
+        cost = [[0] * (len(window) + 1)]
+        for i, w in enumerate(self.words):
+            above, row = cost[-1], [i + 1]
+            for j, x in enumerate(window):
+                inside = abs(start - low + i - j) <= 2 * self.slack + 1
+                row.append(min(above[j] + (w != x), above[j + 1] + 1, row[j] + 1) if inside else far)
+            cost.append(row)
+        end = min(range(len(window) + 1), key=lambda j: (cost[-1][j], j == 0 or window[j - 1] != self.words[-1]))
+        if cost[-1][end] > self.slack:
+            return None
+        i, j, odd = len(self.words), end, []
+        while i:  # among equals, words that agree, then words of the text that are added
+            here, w = cost[i][j], self.words[i - 1]
+            same = j > 0 and w == window[j - 1]
+            if j and here == cost[i][j - 1] + 1 and not same:
+                j -= 1
+                odd.append(("+", window[j]))
+            elif j and here == cost[i - 1][j - 1] + (not same):
+                i, j = i - 1, j - 1
+                odd += [] if same else [("+", window[j]), ("-", w)]
+            elif here == cost[i - 1][j] + 1:
+                i -= 1
+                odd.append(("-", w))
+            else:
+                j -= 1
+                odd.append(("+", window[j]))
+        if j == end or any(re.search(r"\d", w) for _, w in odd):
+            return None
+        return low + j, low + end, " ".join(sign + w for sign, w in reversed(odd))
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]], tolerance: float, reach: int) -> None:
+    """Finds the notices of texts.
+
+    Candidates come from the notices' own words: a text is looked at where a piece
+    of a notice stands unchanged, one of so many that every place with few enough
+    differences has one. An automaton of the pieces' longest words leaves out
+    other texts.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], tolerance: float) -> None:
+        import ahocorasick
         import zstandard
 
-        self.tolerance, self.reach = tolerance, reach
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.each = []
-        for name, notices in templates.items():
-            for text in notices:
-                own = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.each.append((name, [w.lower() for w in WORD.findall(text)], zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False)))
-
-        self.words = max((int(len(w) * (1 + tolerance)) for _, w, _ in self.each), default=0) + 1
-
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        low = high = -1
-        begins = [m.start() for m in WORD.finditer(text)] if CUE.search(text) else []
-        for m in CUE.finditer(text):
-            k = bisect.bisect_right(begins, m.start())
-            a = max(0, min(m.start() - self.reach, begins[max(0, k - self.words)] if k else 0))
-            k = bisect.bisect_left(begins, m.end()) + self.words
-            b = max(min(len(text), m.end() + self.reach), begins[k] if k < len(begins) else len(text))
-            if low >= 0 and a < high:
-                high = max(high, b)
-                continue
-            if low >= 0:
-                yield low, high
-            low, high = a, b
-        if low >= 0:
-            yield low, high
+        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+        self.notices = [n for name, texts in templates.items() for text in texts if (n := Notice(name, text, tolerance)).words]
+        self.pieces: dict[str, list[tuple[int, int, list[str]]]] = {}
+        self.anchors = ahocorasick.Automaton()
+        for k, notice in enumerate(self.notices):
+            for at, words in notice.pieces():
+                self.pieces.setdefault(words[0], []).append((k, at, words))
+                self.anchors.add_word(max(words, key=len), 1)
+        self.anchors.make_automaton()
 
     def __call__(self, text: str) -> list[dict]:
-        out = []
-        for low, high in self.blocks(text):
-            block = text[low:high].lower().encode("utf-8", "replace")
-            alone = len(self.plain.compress(block))
-            ranked = sorted(((alone - len(z.compress(block)), k) for k, (_, _, z) in enumerate(self.each)), key=lambda x: (-x[0], x[1]))
-            words = [(m[0].lower(), low + m.start(), low + m.end()) for m in WORD.finditer(text, low, high)]
-            taken: list[tuple[int, int]] = []
-            for saved, k in ranked:
-                if saved > 0:
-                    name, template, _ = self.each[k]
-                    for a, b, wording in self.confirmed(words, template, taken):
-                        taken.append((a, b))
-                        out.append({"license": name, "start": words[a][1], "end": words[b - 1][2], "wording": wording, "saved": saved})
+        if not len(self.anchors) or next(self.anchors.iter(text.lower()), None) is None:
+            return []
+        words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+        own = [w for w, _, _ in words]
+        hits = sorted({(j - at, k) for j, w in enumerate(own) for k, at, piece in self.pieces.get(w, ()) if own[j : j + len(piece)] == piece})
+        out, low = [], 0
+        while low < len(hits):  # hits whose places overlap share a block
+            first, last, high = len(own), 0, low
+            while high < len(hits) and (high == low or hits[high][0] - self.notices[hits[high][1]].slack < last):
+                at, notice = hits[high][0], self.notices[hits[high][1]]
+                first, last = min(first, max(0, at - notice.slack)), max(last, min(len(own), at + len(notice.words) + notice.slack))
+                high += 1
+            out += self.winners(words, own, first, last, hits[low:high])
+            low = high
         return sorted(out, key=lambda x: (x["start"], x["license"]))
 
-    def confirmed(self, words: list[tuple[str, int, int]], template: list[str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-        """Places where the template's words stand, with differences (none, or -word and +word) in at most tolerance of them, and none in words with digits or capital names."""
-        own = [w for w, _, _ in words]
-        n = len(template)
-        at = 0
-        while at < len(own):
-            try:
-                at = own.index(template[0], at)
-            except ValueError:
+    def winners(self, words: list[tuple[str, int, int]], own: list[str], first: int, last: int, hits: list[tuple[int, int]]) -> Iterator[dict]:
+        """The block's notices: templates by the bytes that they save, each confirmed word by word where its pieces stand, and none over another."""
+        block = " ".join(own[first:last]).encode()
+        alone = len(self.plain(block))
+        ranked = sorted((len(n.compress(block)) - alone, k) for k, n in enumerate(self.notices))
+        taken: list[tuple[int, int]] = []
+        for more, k in ranked:
+            if more >= 0:
                 return
-            window = own[at : at + n + int(n * self.tolerance)]
-            ops = difflib.SequenceMatcher(None, template, window, autojunk=False).get_opcodes()
-            if ops and ops[-1][0] == "insert":
-                ops = ops[:-1]
-            end = at + max((j2 for _, _, _, _, j2 in ops), default=0)
-            odd = [(sign, w) for tag, i1, i2, j1, j2 in ops if tag != "equal" for sign, part in (("-", template[i1:i2]), ("+", window[j1:j2])) for w in part]
-            if len(odd) <= self.tolerance * n and not any(re.search(r"\d", w) for _, w in odd) and not any(a < end and b > at for a, b in taken):
-                yield at, end, " ".join(s + w for s, w in odd)
-                at = end
-            else:
-                at += 1
+            free = 0
+            for at in (at for at, kk in hits if kk == k):
+                found = self.notices[k].differences(own, at)
+                if found and found[0] >= free and not any(a < found[1] and b > found[0] for a, b in taken):
+                    free = found[1]
+                    taken.append(found[:2])
+                    yield {"license": self.notices[k].name, "start": words[found[0]][1], "end": words[found[1] - 1][2], "wording": found[2], "saved": -more}
 
 
-def scanned(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, tolerance: float = 0.1, reach: int = REACH, text: str = "text", found: str = "licenses") -> DataFrame:
+def scanned(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, tolerance: float = 0.1, text: str = "text", found: str = "licenses") -> DataFrame:
     """docs with found: license, start and end (code points), exact wording differences and bytes saved, of each notice in the whole text.
 
-    Texts are searched around words that every notice has; each block is
-    compressed alone and with every template as a raw zstandard dictionary, and
-    templates that save bytes are compared word by word, best first. Words with
-    digits (versions) must agree. Null texts hold none; equal texts get equal
-    results.
+    Blocks around places where a piece of a notice stands unchanged are compressed
+    alone and with every template as a raw zstandard dictionary, and templates
+    that save bytes are compared word by word, best first. At most tolerance of a
+    notice's words may differ, and words with digits (versions) must agree.
+    Null and empty texts hold none; texts may have any length; equal texts get
+    equal results, ids are not read, and an empty table gives none. Among templates
+    that save as much the first named wins. A column of docs that is named like
+    found is replaced.
     """
     known = templates or TEMPLATES
 
     @F.pandas_udf(SCHEMA)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Scanner(known, tolerance, reach)
+        of = Scanner(known, tolerance)
         for batch in batches:
             yield pd.Series([of(b.decode("utf-8", "replace")) for b in batch])
 

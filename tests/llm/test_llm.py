@@ -487,7 +487,7 @@ def test_license_scans(spark, empty):
 def test_license_notices_are_found_over_lines(prefix, end):
     import textwrap
 
-    scan = license_scans.Scanner(license_scans.TEMPLATES, 0.1, license_scans.REACH)
+    scan = license_scans.Scanner(license_scans.TEMPLATES, 0.1)
     for name in ("MIT", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Apache-2.0"):
         notice = license_scans.TEMPLATES[name][1]
         for width in (30, 80):
@@ -498,6 +498,33 @@ def test_license_notices_are_found_over_lines(prefix, end):
             assert text[got[0]["start"] :].startswith(notice[:12]) and notice.rstrip(".").endswith(text[: got[0]["end"]].split()[-1])
 
 
+def test_license_notices_with_any_few_differences_are_found():
+    """Notices of own words, with words changed, left out and added at any place, against where they were put; and more changes than allowed."""
+    rnd = random.Random(6)
+    known = {f"L{k}": [" ".join(f"{rnd.choice('bcdfgh')}{rnd.choice('aeiou')}{rnd.choice('klmn')}q{'abcdefghij'[j % 10]}{'xyzw'[k]}" for j in range(n))] for k, n in enumerate((7, 20, 31, 45))}
+    scan = license_scans.Scanner(known, 0.1)
+    for _ in range(400):
+        name = rnd.choice(list(known))
+        words = known[name][0].split()
+        slack, own = int(0.1 * len(words)), list(words)
+        count = rnd.randint(0, slack)
+        for at in sorted(rnd.sample(range(1, len(words) - 1), count), reverse=True):
+            kind = rnd.choice(["change", "leave", "add"])
+            own[at : at + 1] = {"change": ["other"], "leave": [], "add": [own[at], "added"]}[kind]
+        if rnd.random() < 0.3 and count < slack:
+            own[0] = "first"
+        before, after = ("plain " * rnd.randint(0, 30) for _ in range(2))
+        text = f"{before}{(rnd.choice([' ', chr(10) + ' * ', ', '])).join(own)} {after}"
+        (got,) = scan(text)
+        assert got["license"] == name and text[got["start"] : got["end"]].split()[0].strip(",") == own[0] and text[: got["end"]].split()[-1].strip(",") == own[-1]
+        assert (got["wording"] == "") == (own == words)
+        broken = list(words)
+        for at in range(1, len(words), max(1, len(words) // (slack + 2))):
+            broken[at] = "broken"
+        assert scan(" ".join(broken)) == []
+    assert license_scans.Scanner({"none": [""]}, 0.1)("any text") == []
+
+
 def test_piece_codec(docs, empty):
     import sentencepiece
 
