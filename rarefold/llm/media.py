@@ -127,7 +127,7 @@ def gzip_length(b: memoryview) -> int:
 
 
 def flac_length(b: memoryview) -> int:
-    """Frames have no lengths: a stream with good metadata lasts to the end."""
+    """Frames have no lengths: a stream with good metadata lasts to the end, or to the next medium, as Sniffer sees to."""
     at, first = 4, True
     while at + 4 <= len(b):
         kind, n = b[at], int.from_bytes(b[at + 1 : at + 4], "big")
@@ -142,6 +142,10 @@ def flac_length(b: memoryview) -> int:
 VALID: dict[str, Callable[[memoryview], int]] = {"audio/wav": wav_length, "image/png": png_length, "image/gif": gif_length, "image/jpeg": jpeg_length, "image/bmp": bmp_length, "application/gzip": gzip_length, "audio/flac": flac_length}
 
 
+#: The type whose end isn't told by its structure.
+OPEN_ENDED = "audio/flac"
+
+
 class Sniffer:
     def __init__(self) -> None:
         import ahocorasick
@@ -155,8 +159,10 @@ class Sniffer:
         """Type, start and length of each medium whose structure holds, outermost and leftmost first; none overlaps another."""
         out, free, view = [], 0, memoryview(data)
         hits = sorted((end + 1 - n, kind) for end, (n, kind) in self.machine.iter(data.decode("latin-1")))
-        for start, kind in hits:
+        for k, (start, kind) in enumerate(hits):
             if start >= free and (length := VALID[kind](view[start:])):
+                if kind == OPEN_ENDED:
+                    length = next((s for s, other in hits[k + 1 :] if VALID[other](view[s:])), len(data)) - start
                 out.append((kind, start, length))
                 free = start + length
         return out
@@ -208,7 +214,12 @@ DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 
 
 def digested(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Texts through media and back: stored in the shared folder, read, sniffed, decoded and described."""
+    """Texts through media and back: stored in the shared folder, read, sniffed, decoded and described; a row per row of docs.
+
+    A null text is empty. Texts may have any length that the format's 32-bit sizes
+    hold; equal texts get equal values; ids may be null or tied; an empty table
+    gives none. Other columns of docs, whatever their names, are not read.
+    """
     got = sniffed(written(stored_texts(docs, text), "media"), "media", "declared")
 
     @F.pandas_udf(DIGEST)

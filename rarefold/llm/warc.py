@@ -75,17 +75,64 @@ def records(file: io.IOBase, start: int, end: int, wanted: Callable[[dict[str, s
         yield from plain(file, start, end, wanted)
     elif first[:4] == MAGIC and first[12:14] == b"sl":
         yield from skippable(file, start, end, wanted)
-    elif start == 0:  # members of unknown lengths: one reader takes the whole file
+    elif start == 0:  # members of unknown lengths: one reader takes the whole file, bit by bit
         file.seek(0)
-        whole = io.BytesIO()
-        z = zlib.decompressobj(31)
-        while data := file.read(1 << 20):
-            while data:
-                whole.write(z.decompress(data))
-                data = z.unused_data
-                if z.eof:
-                    z = zlib.decompressobj(31)
-        yield from plain(whole, 0, whole.tell(), wanted)
+        yield from streamed(Inflated(file), wanted)
+
+
+class Inflated:
+    """The bytes of a file of gzip members, of which no more are held than asked for."""
+
+    def __init__(self, file: io.IOBase, step: int = 1 << 18) -> None:
+        self.file, self.step, self.z = file, step, zlib.decompressobj(31)
+        self.left, self.held = b"", b""
+
+    def more(self) -> bytes:
+        """Some bytes more, none at the end."""
+        while True:
+            if self.z.eof:
+                self.left, self.z = self.z.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            data = self.left or self.file.read(self.step)
+            if not data:
+                return b""
+            out = self.z.decompress(data, self.step)
+            self.left = self.z.unconsumed_tail
+            if out:
+                return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the next mark, which is passed; None where there is none."""
+        while (k := self.held.find(mark)) < 0:
+            data = self.more()
+            if not data:
+                return None
+            self.held += data
+        out, self.held = self.held[:k], self.held[k + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        """The next n bytes, or, without keep, none of them, as they are passed."""
+        parts = []
+        while n > 0:
+            data = self.held or self.more()
+            if not data:
+                break
+            if keep:
+                parts.append(data[:n])
+            self.held = data[n:]
+            n -= len(data)
+        return b"".join(parts)
+
+
+def streamed(source: Inflated, wanted: Callable) -> Iterator:
+    """Records in order: headers first, and the blocks of unwanted ones are passed by without being held."""
+    while (head := source.until(b"\r\n\r\n")) is not None:
+        own = parsed(head)
+        good = wanted(own)
+        block = source.take(int(own.get("content-length", 0)), good)
+        source.take(4, False)
+        if good:
+            yield own, block
 
 
 def plain(file: io.IOBase, start: int, end: int, wanted: Callable) -> Iterator:
@@ -292,18 +339,19 @@ def page_of(urn: Column) -> Column:
 def archived(pages: DataFrame, *, least: int = 1000, html: str = "html") -> DataFrame:
     """The records of pages after a round through archives in the shared folder: page_id, record_type, refers_to, payload_bytes, payload_digest.
 
-    Responses' figures come from the payload that was read, revisits' from their headers.
+    Responses' figures come from the payload that was read, revisits' from their
+    headers; each kind is read by its own pushed-down predicate. Null html is empty;
+    pages may repeat and ids be null, as page_records has it; payloads may have any
+    length that a task can hold; an empty table gives none. Other columns of pages,
+    whatever their names, are not read.
     """
     spark = pages.sparkSession
     register(spark)
     path = new_path(spark, "warc")
     page_records(pages, least=least, html=html).write.format("warc").mode("append").save(path)
-    got = spark.read.format("warc").load(path)
-    full = F.col("payload").isNotNull()
-    return got.select(
-        page_of(F.col("record_id")).alias("page_id"),
-        F.when(full, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        page_of(F.col("refers_to")).alias("refers_to"),
-    )
+    read = lambda kind, payload: spark.read.format("warc").option("payload", payload).load(path).where(F.col("record_type") == kind)
+    # of revisits, headers alone are decompressed: they have no payload
+    full, again = read("response", "true"), read("revisit", "false")
+    columns = lambda n, digest, refers: [page_of(F.col("record_id")).alias("page_id"), n.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", refers.alias("refers_to")]
+    responses = full.select(*columns(F.octet_length("payload"), F.sha1("payload"), F.lit(None).cast("long")))
+    return responses.unionByName(again.select(*columns(F.col("payload_length"), F.col("payload_digest"), page_of(F.col("refers_to")))))

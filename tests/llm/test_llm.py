@@ -220,6 +220,46 @@ def test_words_are_kept_and_dropped():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_leader_updates_are_those_of_the_definition():
+    """Weights at each step from the sums so far alone: the regularised minimum, coordinate by coordinate."""
+    rnd = random.Random(2)
+    model = quality_classifier.Model(bits=4)
+    data = []
+    for _ in range(40):
+        at = sorted(rnd.sample(range(16), rnd.randint(1, 6)))
+        data.append((np.array(at), np.array([rnd.random() for _ in at], np.float32), int(rnd.random() < 0.3 + 0.4 * (3 in at))))
+    model.learn(data, rounds=2)
+    sums, squares, shift = collections.Counter(), collections.Counter(), collections.Counter()
+
+    def weight(i):
+        z, n = sums[i] - shift[i], squares[i]
+        return 0.0 if abs(z) <= model.l1 else -(z - math.copysign(model.l1, z)) / ((model.beta + math.sqrt(n)) / model.alpha + model.l2)
+
+    for at, values, y in data * 2:
+        row = [*zip(at.tolist(), values.tolist(), strict=True), (16, 1.0)]
+        w = {i: weight(i) for i, _ in row}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in row)))
+        for i, v in row:
+            g = (p - y) * v
+            shift[i] += (math.sqrt(squares[i] + g * g) - math.sqrt(squares[i])) / model.alpha * w[i]
+            sums[i] += g
+            squares[i] += g * g
+    assert np.allclose(model.weights(slice(None)), [weight(i) for i in range(17)], atol=1e-5)
+    grams = quality_classifier.Grams(bits=6)
+    w = np.linspace(-1, 1, 65).astype(np.float32)
+    for text in (b"", b"One two TWO two 22!", "é ß ß".encode()):
+        found, values = grams.counted(text)
+        assert math.isclose(grams.dot(text, w), float((w[found].astype(float) * values).sum()), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_quality_classifier_reads_no_other_columns_and_one_text_an_id(spark):
+    data = [(1, "good words here", 7), (1, "good words here too", 7), (2, "BAD BAD", 7), (None, "x", 7), (3, None, 7)]
+    own = spark.createDataFrame(data, "doc_id long, text string, id_ int")
+    labels = spark.createDataFrame([(1, 1, 9), (2, 0, 9), (2, None, 9), (4, 1, 9)], "doc_id long, quality int, id_ int")
+    got = rows(quality_classifier.scored(own, quality_classifier.trained(own, labels)))
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 and r["id_"] == 7 for r in got)
+
+
 def test_quality_classifier(spark, empty):
     rnd = random.Random(5)
     good = lambda: " ".join(rnd.choice(["sun", "moon", "river", "stone", "of", "the"]) for _ in range(60))
@@ -438,7 +478,16 @@ def test_warc_reader_splits_filters_and_skips(spark, tmp_path):
     (tmp_path / "other").mkdir()
     (tmp_path / "other/a.warc.gz").write_bytes(gzip.compress(raw))
     for kind, size in (("plain", "1500"), ("plain", "10000000"), ("other", "1500")):
-        assert spark.read.format("warc").option("split_bytes", size).load(str(tmp_path / kind)).select("record_id").distinct().count() == 200
+        read = spark.read.format("warc").option("split_bytes", size).load(str(tmp_path / kind))
+        assert read.select("record_id").distinct().count() == 200
+        assert {r[0]: bytes(r[1]) for r in read.where("record_type = 'response'").select("record_id", "payload").collect()} == {a: d for a, b, _, d in data if b == "response"}
+    # members of one record each and no lengths, as other writers make them: no more than a step is held beyond a record
+    import io
+
+    cut = [m for m in re.split(rb"(?=WARC/1\.1\r\nWARC-Type)", raw) if m]
+    source = warc.Inflated(io.BytesIO(b"".join(map(gzip.compress, cut))), step=100)
+    got = list(warc.streamed(source, lambda own: own["warc-type"] == "revisit"))
+    assert len(cut) == 200 and len(got) == 40 and all(h["warc-type"] == "revisit" for h, _ in got)
 
 
 def test_media(docs, empty):
@@ -470,6 +519,27 @@ def test_sniffing_corrects_and_carves(spark):
     assert got["cut"]["corrected"] == "application/octet-stream" and got["mixed"]["corrected"] == "text/plain" and got["none"]["corrected"] == "image/gif"
     parts = {r["media_type"]: bytes(r["media"]) for r in rows(media.carved(df.where("name = 'mixed'"), "bytes"))}
     assert parts == dict(every)
+    flac = b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8" + b"frames BM GIF89a " * 9
+    assert media.Sniffer()(b"--" + flac) == [("audio/flac", 2, len(flac))]
+    assert media.Sniffer()(flac + png + b"-" + wav) == [("audio/flac", 0, len(flac)), ("image/png", len(flac), len(png)), ("audio/wav", len(flac) + len(png) + 1, len(wav))]
+
+
+def test_stored_media_are_what_a_wave_reader_reads(docs):
+    """By the standard library's reader, and features by plain loops."""
+    import io
+    import wave
+
+    texts = {i: (t or "").encode() for i, t, *_ in corpus()}
+    feature = {r["doc_id"]: r["feature"] for r in rows(media.digested(docs))}
+    for r in rows(media.stored_texts(docs)):
+        b = texts[r["doc_id"]]
+        with wave.open(io.BytesIO(bytes(r["media"]))) as w:
+            assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
+            got, rate = w.readframes(w.getnframes()), w.getframerate()
+        assert got[: len(b)] == b and not any(got[len(b) :]) and len(got) % 64 == 0 < len(got)
+        x = [v - 128 for v in got]
+        cross = sum((u < 0) != (v < 0) for u, v in zip(x, x[1:], strict=False))
+        assert feature[r["doc_id"]] == f"audio/wav;rate={rate};n={len(x)};mean={1000 * sum(x) // len(x)};power={1000 * sum(v * v for v in x) // len(x)};cross={cross};values={len(set(x))}"
 
 
 def test_license_scans(spark, empty):
