@@ -65,32 +65,40 @@ def precision_area(y: np.ndarray, p: np.ndarray) -> float:
 
 
 def evaluate(data: DataFrame, models: dict[str, Model], *, n_folds: int = 10, n_repeats: int = 5, seed: int = 42) -> DataFrame:
-    """RESULT rows: a group per dataset, repeat, fold and model, each on one task, as the reference's tables are small. A model that fails leaves its message."""
-    turns = F.explode(F.array(*[F.struct(F.lit(a).alias("algorithm"), F.lit(r).alias("repeat"), F.lit(k).alias("fold")) for a in models for r in range(n_repeats) for k in range(n_folds)]))
+    """RESULT rows: a task per dataset, repeat and fold prepares the fold once for all models, as tables are small. A model that fails leaves its message."""
+    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(k).alias("fold")) for r in range(n_repeats) for k in range(n_folds)]))
     spread = data.withColumn("turn", turns).select("dataset", "id", "y", "ratio", "num", "cat", "turn.*")
 
+    def folded(rows: pd.DataFrame, repeat: int, fold: int) -> tuple[Fold, np.ndarray]:
+        y = rows["y"].to_numpy()
+        part, rng = np.zeros(len(y), int), np.random.default_rng((seed, repeat))
+        for label in (0, 1):
+            at = rng.permutation(np.flatnonzero(y == label))
+            part[at] = np.arange(len(at)) % n_folds
+        train = part != fold
+        num = np.array([list(v) for v in rows["num"]], float).reshape(len(y), -1)
+        cat = np.array([list(v) for v in rows["cat"]], object).reshape(len(y), -1)
+        x = prepared(num, cat, train)
+        return Fold(x[train], y[train], x[~train], seed), y[~train]
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        name, algorithm, repeat, fold = (rows[c][0] for c in ("dataset", "algorithm", "repeat", "fold"))
-        out = dict.fromkeys([c.split()[0] for c in RESULT.split(", ")]) | {"dataset": name, "algorithm": algorithm, "repeat": repeat, "fold": fold, "imbalance_ratio": rows["ratio"][0]}
-        try:
-            y = rows["y"].to_numpy()
-            part, rng = np.zeros(len(y), int), np.random.default_rng((seed, int(repeat)))
-            for label in (0, 1):
-                at = rng.permutation(np.flatnonzero(y == label))
-                part[at] = np.arange(len(at)) % n_folds
-            train = part != fold
-            num = np.array([list(v) for v in rows["num"]], float).reshape(len(y), -1)
-            cat = np.array([list(v) for v in rows["cat"]], object).reshape(len(y), -1)
-            x = prepared(num, cat, train)
-            p = models[algorithm](Fold(x[train], y[train], x[~train], seed))
-            truth, pred = y[~train], p > 0.5
-            out |= {"tp": int((pred & (truth == 1)).sum()), "tn": int((~pred & (truth == 0)).sum()), "fp": int((pred & (truth == 0)).sum()), "fn": int((~pred & (truth == 1)).sum()), "roc_auc": auc(truth, p), "pr_auc": precision_area(truth, p)}
-        except Exception as e:  # noqa: BLE001  a failing model must not end the others
-            out["error"] = f"{type(e).__name__}: {e}"
-        return pd.DataFrame([out]).astype({c: "Int64" for c in ("tp", "tn", "fp", "fn")})
-
-    return spread.groupBy("dataset", "algorithm", "repeat", "fold").applyInPandas(run, RESULT)
+        name, repeat, fold = (rows[c][0] for c in ("dataset", "repeat", "fold"))
+        made, out = None, []
+        for algorithm, model in models.items():
+            one = dict.fromkeys([c.split()[0] for c in RESULT.split(", ")]) | {"dataset": name, "algorithm": algorithm, "repeat": repeat, "fold": fold, "imbalance_ratio": rows["ratio"][0]}
+            try:
+                made = made or folded(rows, int(repeat), int(fold))
+                own, truth = made
+                p = model(own)
+                pred = p > 0.5
+                one |= {"tp": int((pred & (truth == 1)).sum()), "tn": int((~pred & (truth == 0)).sum()), "fp": int((pred & (truth == 0)).sum()), "fn": int((~pred & (truth == 1)).sum()), "roc_auc": auc(truth, p), "pr_auc": precision_area(truth, p)}
+            except Exception as e:  # noqa: BLE001  a failing model must not end the others
+                one["error"] = f"{type(e).__name__}: {e}"
+            out.append(one)
+        return pd.DataFrame(out).astype({c: "Int64" for c in ("tp", "tn", "fp", "fn")})
+
+    return spread.groupBy("dataset", "repeat", "fold").applyInPandas(run, RESULT)
 
 
 def run_benchmark(spark: SparkSession, tables: Sequence[LabelledTable], store: ResultStore, names: Sequence[str] | None = None, *, models: dict[str, Model] | None = None, replace: Sequence[str] = (), n_folds: int = 10, n_repeats: int = 5) -> DataFrame:

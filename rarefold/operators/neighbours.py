@@ -50,13 +50,16 @@ def sizes(train: DataFrame, **options: int) -> Sizes:
     return Sizes(n.get(1, 0), sum(n.values()) - n.get(1, 0), **options)
 
 
-def distances(queries: np.ndarray, train: np.ndarray) -> np.ndarray:
+def squares(queries: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and how far they may be from the exact ones."""
+    a, b = (queries * queries).sum(axis=1), (train * train).sum(axis=1)
+    return a[:, None] + b[None] - 2 * (queries @ train.T), 4e-15 * (queries.shape[1] + 4) * float(a.max(initial=0) + b.max(initial=0))
+
+
+def distances(query: np.ndarray, train: np.ndarray) -> np.ndarray:
     """Euclidean, dimension by dimension: the same sums in the same order as a scalar loop."""
-    out = np.zeros((len(queries), len(train)))
-    for d in range(queries.shape[1]):
-        step = queries[:, d, None] - train[None, :, d]
-        out += step * step
-    return np.sqrt(out)
+    step = train - query
+    return np.sqrt((step * step).cumsum(axis=1)[:, -1]) if step.shape[1] else np.zeros(len(train))
 
 
 def searched(queries: DataFrame, train: DataFrame, k: dict[int, int] | int, other: str | None = None) -> DataFrame:
@@ -79,18 +82,21 @@ def searched(queries: DataFrame, train: DataFrame, k: dict[int, int] | int, othe
         out = []
         if len(a) and len(b):
             b = b.sort_values("id", kind="stable")
-            d = distances(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
+            q, t = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+            rough, error = squares(q, t)
             if other:
-                d[a[other].to_numpy()[:, None] == b[other].to_numpy()[None, :]] = np.inf
+                rough[a[other].to_numpy()[:, None] == b[other].to_numpy()[None, :]] = np.inf
             ids = b["id"].to_numpy()
             for label in np.unique(b["y"]):
                 at = np.flatnonzero(b["y"].to_numpy() == label)
-                n = k if isinstance(k, int) else k.get(int(label), 0)
-                part = d[:, at]
-                order = np.argsort(part, axis=1, kind="stable")[:, :n]
+                n = min(k if isinstance(k, int) else k.get(int(label), 0), len(at))
+                part = rough[:, at]
+                far = np.partition(part, n - 1, axis=1)[:, n - 1] + 2 * error if 0 < n < len(at) else np.full(len(a), np.inf)
                 for row, (i, y, f) in enumerate(zip(a["id"], a["y"], a["fold"], strict=True)):
-                    own = order[row][np.isfinite(part[row, order[row]])]
-                    out.append((i, y, f, int(label), part[row, own], ids[at[own]]))
+                    some = at[np.flatnonzero((part[row] <= far[row]) & np.isfinite(part[row]))] if n else at[:0]
+                    d = distances(q[row], t[some])
+                    near = np.argsort(d, kind="stable")[:n]
+                    out.append((i, y, f, int(label), d[near], ids[some[near]]))
         return pd.DataFrame(out, columns=["id", "y", "fold", "label", "d", "n"])
 
     got = q.groupBy("qb", "tb").cogroup(t.groupBy("q_", "t_")).applyInPandas(met, "id long, y int, fold int, label int, d array<double>, n array<long>")

@@ -57,7 +57,7 @@ def median_imputed(df: DataFrame, columns: Sequence[str], train: Column) -> Data
 
 
 def mode_imputed(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
-    """Missing words become the most frequent of the training rows, the first in order among equals; columns without any word go."""
+    """Missing words become the most frequent of the training rows, the first in order among equals; columns without any word stay empty, and have no place in features()."""
     out, keep = df, []
     for c in columns:
         top = df.where(train & F.col(c).isNotNull()).groupBy(c).count().groupBy().agg(F.min(F.struct(-F.col("count"), F.col(c).alias("v")))["v"].alias(f"m_{c}"))
@@ -79,12 +79,40 @@ def _hot(c: str) -> Column:
 
 
 def features(df: DataFrame, numbers: Sequence[str], words: Sequence[str], train: Column, out: str = "v") -> DataFrame:
-    """The whole preparation of a fold (P4 to P9): impute, drop constants, one-hot, put together, scale."""
-    own = without_constants(median_imputed(df, numbers, train), numbers, train)
-    own = one_hot(mode_imputed(own, words, train), words, train, "hot_") if words else own.withColumn("hot_", F.array().cast("array<double>"))
-    left = [F.col(c).cast("double") for c in numbers if c in own.columns]
-    own = own.withColumn(out, F.concat(F.array(*left) if left else F.array().cast("array<double>"), "hot_"))
-    return standardised_vectors(own, train, out).drop("hot_")
+    """The whole preparation of a fold (P4 to P9): impute, drop constants, one-hot, put together, scale.
+
+    One aggregate of the training rows fits all numbers, and one a column of words
+    its counts; means and deviations after imputation follow from these. The rows
+    are then read once, beside these few broadcast rows.
+    """
+    num = lambda c: F.col(c).cast("double")
+    fits = [F.struct(F.percentile(num(c), 0.5).alias("m"), F.count(c).alias("k"), F.avg(num(c)).alias("a"), F.var_pop(num(c)).alias("v"), (F.max(num(c)) > F.min(num(c))).alias("keep")).alias(f"f_{c}") for c in numbers]
+    own = df.join(F.broadcast(df.where(train).agg(F.count("*").alias("n_"), *fits)), F.lit(True))
+    for c in words:
+        counts = df.where(train & F.col(c).isNotNull()).groupBy(c).count()
+        top = F.min(F.struct(-F.col("count"), F.col(c).alias("w")))["w"]
+        own = own.join(F.broadcast(counts.agg(F.array_sort(F.collect_list(F.struct(F.col(c).alias("w"), F.col("count").alias("k")))).alias(f"w_{c}"), top.alias(f"m_{c}"), F.sum("count").alias(f"k_{c}"))), F.lit(True))  # a row; a word each
+
+    def number(c: str) -> Column:
+        f, n = F.col(f"f_{c}"), F.col("n_")
+        miss = n - f["k"]
+        mean = (f["k"] * f["a"] + miss * f["m"]) / n
+        var = (f["k"] * (f["v"] + (f["a"] - mean) * (f["a"] - mean)) + miss * (f["m"] - mean) * (f["m"] - mean)) / n
+        return F.struct(F.coalesce(f["keep"], F.lit(False)).alias("keep"), F.try_divide(F.coalesce(num(c), f["m"]) - mean, F.sqrt(var)).alias("x"))
+
+    def word(c: str) -> Column:
+        top, n = F.col(f"m_{c}"), F.col("n_")
+        value = F.coalesce(F.col(c), top)
+
+        def one(w: Column) -> Column:
+            p = (w["k"] + F.when(w["w"] == top, n - F.col(f"k_{c}")).otherwise(0)) / n
+            sd = F.sqrt(p * (1 - p))
+            return ((value == w["w"]).cast("double") - p) / F.when(sd > 0, sd).otherwise(1.0)
+
+        return F.transform(F.coalesce(F.col(f"w_{c}"), F.array().cast(f"array<struct<w:{df.schema[c].dataType.simpleString()},k:bigint>>")), one)
+
+    left = F.transform(F.filter(F.array(*map(number, numbers)), lambda x: x["keep"]), lambda x: x["x"]) if numbers else F.array().cast("array<double>")
+    return own.withColumn(out, F.concat(left, *map(word, words))).select(*df.columns, out)
 
 
 def degenerate(df: DataFrame, by: str, folds: int, label: str = "y") -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rarefold.functions import geometry, pvalues
 from rarefold.operators import benchmark, local_models, meta, metrics, preprocessing, ranking
-from rarefold.sources.tables import LabelledTable, ResultStore, Settings, csv_folder, labelled, summary, target_column
+from rarefold.sources.tables import LabelledTable, ResultStore, Settings, csv_folder, exported, labelled, summary, target_column
 
 PREPARED = "id long, a double, w string, y int, test boolean"
 
@@ -192,3 +192,99 @@ def test_table_features(spark):
     assert np.allclose(share, values / values.sum())
     assert np.allclose(np.array([r["pc"] for r in meta.projected(df, axes).orderBy("id").collect()]), x @ axes.T)
     assert {r["y"]: r["components"] for r in meta.effective_dimension(df).collect()} == {c: geometry.components_for(x[:10] if c else x[10:]) for c in (0, 1)}
+
+
+def plain_signed_rank(d):
+    """The chance by going through all signs of the ranks."""
+    import itertools
+
+    ranks = pd.Series(np.abs(d)).rank().to_numpy()
+    w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+    sums = [sum(r for r, s in zip(ranks, signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=len(d))]
+    return w, min(1.0, 2 * sum(x <= w for x in sums) / len(sums))
+
+
+def test_signed_ranks_are_exact_without_ties_and_folds_are_averaged(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"d{i}", a, float(rng.random() + (a == "b") * 0.2)) for i in range(9) for a in "abc"]
+    folds = [(d, a, v + e) for d, a, v in rows for e in (-0.25, 0.25)]
+    schema = "dataset string, algorithm string, value double"
+    pdf = pd.DataFrame(rows, columns=["dataset", "algorithm", "value"]).pivot(index="dataset", columns="algorithm", values="value")
+    for data in (rows, folds):
+        df = spark.createDataFrame(data, schema)
+        got = {r["algorithm"]: r for r in ranking.wilcoxon(df, "a").collect()}
+        for a in "bc":
+            w, p = plain_signed_rank((pdf[a] - pdf["a"]).round(12).to_numpy())
+            assert (got[a]["statistic"], got[a]["ties"]) == (w, 0) and got[a]["p_raw"] == pytest.approx(p)
+        assert ranking.critical_difference(df).first()["n"] == 9
+        assert ranking.friedman(df).first()["n"] == 9
+    assert pvalues.signed_rank_two_sided(1, 6) == 4 / 64
+    lone = spark.createDataFrame([*rows, ("d0", "same", rows[0][2]), ("d1", "same", rows[3][2]), ("d0", "once", 1.0)], schema)
+    got = {r["algorithm"]: r for r in ranking.holm(ranking.wilcoxon(lone, "a")).collect()}
+    assert got["same"]["p_raw"] is None and got["once"]["statistic"] is None and not got["once"]["significant"]
+    assert got["b"]["p_corrected"] <= min(1, 2 * got["b"]["p_raw"]) and ranking.critical_difference(lone).first()["n"] == 9
+    with pytest.raises(ValueError, match="baseline"):
+        ranking.wilcoxon(lone, "unknown")
+
+
+def test_chances_of_rank_correlations(spark):
+    import itertools
+
+    for n, s in ((4, 4), (5, -6), (6, 1)):
+        top = n * (n - 1) // 2
+        all_s = [sum(np.sign(b - a) for a, b in itertools.combinations(p, 2)) for p in itertools.permutations(range(n))]
+        if (s - top) % 2 == 0:
+            assert pvalues.kendall_two_sided(s, n) == pytest.approx(np.mean([abs(x) >= abs(s) for x in all_s]))
+    # by hand: for 2 degrees of freedom the tail is 1 - t / sqrt(t^2 + 2), for 1 it is 1 - 2 atan(t) / pi
+    for t in (0.1, 1.0, 4.0, 30.0):
+        assert pvalues.student_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(t * t + 2))
+        assert pvalues.student_two_sided(-t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi)
+    data = [(i, float(i % 7), float((i * i) % 11)) for i in range(40)] + [(40, None, 1.0)]
+    got = ranking.spearman(spark.createDataFrame(data, "k long, x double, y double"), "x", "y").first()
+    x, y = (pd.Series([r[c] for r in data[:40]]).rank() for c in (1, 2))
+    assert got["n"] == 40 and got["rho"] == pytest.approx(x.corr(y))
+    t = got["rho"] * math.sqrt(38 / (1 - got["rho"] ** 2))
+    assert got["p"] == pytest.approx(pvalues.student_two_sided(t, 38))
+    tau = ranking.kendall(spark.createDataFrame(data[:12], "k long, x double, y double"), "x", "y", "k").first()
+    assert 0 < tau["p"] <= 1 and abs(tau["tau"]) < 1
+
+
+def test_breaks_are_the_widest_gaps_with_enough_rows():
+    """Against taking gaps by width, each if all parts keep enough rows."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        v = np.sort(rng.choice([rng.random(30), rng.random(30) ** 4, np.round(rng.random(30) * 6)]))
+        got = local_models.breaks(v, 4, 0.1)
+        gaps, kept = np.diff(v) / max(v[-1] - v[0], 1e-12), []
+        for p in sorted(range(1, len(v)), key=lambda p: (-gaps[p - 1], -p)):
+            if gaps[p - 1] >= 0.1 and min(np.diff([0, *sorted([*kept, p]), len(v)])) >= 4:
+                kept.append(p)
+        assert got == sorted(kept)
+
+
+@pytest.mark.parametrize("strategy", ["entropy", "eigen"])
+def test_adaptive_metric(strategy):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60, 4))
+    fold = local_models.Fold(x, (x[:, 0] + x[:, 1] > 0).astype(int), x[:9], 1)
+    for k_max in (None, 7):
+        p = local_models.adaptive_metric(fold, strategy, 1, k_max)
+        assert p.shape == (9,) and ((p >= 0) & (p <= 1)).all()
+    assert (local_models.two_anchors(fold, 1, 9, 5) >= 0).all()
+
+
+def test_a_store_outlives_a_change_that_stops_half_way(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([("d", "a", 1.0), ("d", "b", 2.0)], "dataset string, algorithm string, value double"))
+    store._copy(store.load().where("algorithm = 'a'"), "next")
+    fs, path = store._fs()
+    fs.delete(path(f"{store.path}/current"), True)
+    assert [r["algorithm"] for r in store.load().collect()] == ["a"]
+    exported(store.load().select("dataset", "value"), str(tmp_path / "csv"), ["dataset"])
+    (one,) = (tmp_path / "csv").glob("*.csv")
+    assert one.read_text().splitlines() == ["dataset,value", "d,1.0"]
+
+
+def test_numbers_without_gaps(spark):
+    got = sorted(r["n"] for r in preprocessing.numbered(spark.range(1000).repartition(5), "id", "n").collect())
+    assert got == list(range(1000))
