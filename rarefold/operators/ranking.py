@@ -165,6 +165,12 @@ def bootstrap(df: DataFrame, draws: int = 1000, seed: int = 42, level: float = 0
     return ci.join(df.groupBy("algorithm").agg(F.avg("value").alias("mean")), "algorithm").select("algorithm", "mean", "lower", "upper")
 
 
+def pearson(a: str, b: str) -> Column:
+    """The correlation over rows with both, null where one of them doesn't vary."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def shared_ranks(df: DataFrame, column: str, ranges: int = 1024) -> DataFrame:
     """column and its rank of each distinct value, from 1, equal values sharing their mean: counts per value, running sums in each of so many equal ranges of values, and over the ranges."""
     per = df.groupBy(column).agg(F.count("*").alias("c_"))
@@ -180,9 +186,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho, n and p (by Student's t) of rows with both (H6). Only distinct values are ordered, range by range: no window holds all rows."""
     own = df.select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).na.drop()
     r = own.join(shared_ranks(own, "a").withColumnRenamed("rank", "ra"), "a").join(shared_ranks(own, "b").withColumnRenamed("rank", "rb"), "b")
-    out = r.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    out = r.agg(pearson("ra", "rb").alias("rho"), F.count("*").alias("n"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / ((1 - F.col("rho")) * (1 + F.col("rho"))))
-    return out.withColumn("p", F.when(F.col("n") > 2, student_p(F.when(F.abs("rho") < 1, t).otherwise(F.lit(float("inf"))), F.col("n") - 2)))
+    return out.withColumn("p", F.when((F.col("n") > 2) & F.col("rho").isNotNull(), student_p(F.when(F.abs("rho") < 1, t).otherwise(F.lit(float("inf"))), F.col("n") - 2)))
 
 
 def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
@@ -217,7 +223,7 @@ def trend(df: DataFrame, first: str, second: str, along: DataFrame, by: str = "v
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b and r of each pair of columns, over rows with both: Pearson's matrix in long form (H9). One pass over the rows."""
     pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("m"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(a, b).alias("r")) for a, b in pairs]).alias("m"))
     return one.select(F.inline("m"))
 
 

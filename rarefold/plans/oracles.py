@@ -45,6 +45,7 @@ def left_out(kind: str) -> str:
 
 FOLDS = "tf AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(concat(id, '-0-42')), id) - 1) % 3 AS fold FROM t)"
 G_MEAN = "sqrt((CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END) * (CASE WHEN tn + fp = 0 THEN 0 ELSE tn::DOUBLE / (tn + fp) END))"
+MCC = "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END"
 CONFUSION = "count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn"
 
 
@@ -59,13 +60,18 @@ def grid(alphas: list[float], n_votes: list[int]) -> str:
     b AS (SELECT a.*, n_votes, alpha, n_maj::DOUBLE / n_min AS r, dmaj[1:least(greatest(ceil(n_maj::DOUBLE / n_min)::BIGINT * n_votes + 10, 30), 1000, n_maj)] AS m FROM a JOIN fs USING (fold), g),
     p AS (SELECT n_votes, alpha, fold, y, CASE WHEN {w} / {n} > 0.5 THEN 1 ELSE 0 END AS p FROM b),
     c AS (SELECT n_votes, alpha, fold, {CONFUSION} FROM p GROUP BY ALL),
-    o AS (SELECT n_votes, alpha, avg({G_MEAN}) AS score FROM c GROUP BY ALL)"""
+    o AS (SELECT n_votes, alpha, avg({G_MEAN}) AS score, avg({MCC}) AS mcc FROM c GROUP BY ALL)"""
 
 
 def grid_result(alphas: list[float], n_votes: list[int]) -> str:
     return grid(alphas, n_votes) + " SELECT n_votes, alpha, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, n_votes, alpha) = 1 AS chosen FROM o"
 
 
+def rescored(score: str) -> str:
+    """The joint grid by another score of a cell."""
+    return grid([0.25, 0.5, 0.75, 1.0], VOTES) + f", z AS (SELECT n_votes, alpha, {score} AS score FROM o, (SELECT max(score) AS g, max(mcc) AS m FROM o)) SELECT n_votes, alpha, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, n_votes, alpha) = 1 AS chosen FROM z"
+
+
 def with_choice(alphas: list[float], n_votes: list[int], k: str, nv: str, soft: bool = False) -> str:
     """The vote with the cell that the grid chooses."""
     inner = grid(alphas, n_votes) + " SELECT n_votes, alpha FROM o ORDER BY round(score, 12) DESC, n_votes, alpha LIMIT 1"
@@ -156,6 +162,10 @@ ORACLES = {
     "f7_rank_vote_alpha_soft": with_choice(ALPHAS, [5], "r ** alpha", "5", soft=True),
     "f6_alpha_grid": grid_result(ALPHAS, [5]),
     "e3_votes_grid": grid_result([1.0], VOTES),
+    "f6a_joint_grid_mcc": rescored("mcc"),
+    "f6a_joint_grid_combined": rescored("(mcc + score) / 2"),
+    "f6a_joint_grid_utopia": rescored("-(((m - mcc) / m) ** 2 + ((g - score) / g) ** 2)"),
+    "s1_csv_tables": "WITH t AS (SELECT (c_acctbal < 0)::INTEGER AS y, 'c' AS s, 3 AS f FROM customer UNION ALL SELECT (s_acctbal < 0)::INTEGER, 's', 2 FROM supplier), g AS (SELECT s, any_value(f)::INTEGER AS n_features, count(*) AS n, count(*) FILTER (y = 1) AS a FROM t GROUP BY s) SELECT n, n_features, greatest(a, n - a) AS n_maj, least(a, n - a) AS n_min, round(greatest(a, n - a) / least(a, n - a)::DOUBLE, 9) AS r_maj_min FROM g",
     "e4_joint_grid": grid_result(ALPHAS, VOTES),
     "e3_rank_vote_votes": with_choice([1.0], VOTES, "r", "n_votes"),
     "e4_rank_vote_joint": with_choice(ALPHAS, VOTES, "r ** alpha", "n_votes"),

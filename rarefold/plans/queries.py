@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefold.functions import geometry
 from rarefold.operators import benchmark, local_models, meta, metrics, multiclass, preprocessing, ranking, selection, studies, votes
 from rarefold.operators.neighbours import class_lists, joined, nearest, sizes
 from rarefold.plans.views import counts, documents, load, results, vectors
-from rarefold.sources.tables import LabelledTable, ResultStore, completed, exported
+from rarefold.sources.tables import LabelledTable, ResultStore, completed, csv_folder, exported, summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,11 +57,11 @@ voting("r3_rank_vote_left_out_odds", lambda d, s: votes.left_out(d, s, "odds"))
 voting("z5_counted_k", lambda d, s: meta.counted_k(d, 5))
 
 
-def choosing(name: str, alphas: Sequence[float], n_votes: Sequence[int], of: Callable | None) -> None:
+def choosing(name: str, alphas: Sequence[float], n_votes: Sequence[int], of: Callable | None, scoring: str = "geometric_mean") -> None:
     """of: the vote with the chosen cell; None gives the grid itself."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q, t = vectors(spark, sf_dir)
-        grid = selection.grid_scores(selection.folds(t, 3), alphas, n_votes)
+        grid = selection.grid_scores(selection.folds(t, 3), alphas, n_votes, scoring)
         if of is None:
             return rounded(selection.chosen(grid, "n_votes", "alpha")).select("n_votes", "alpha", "score", "chosen")
         cell = selection.best(grid, "n_votes", "alpha")
@@ -76,6 +77,9 @@ def chosen_vote(soft: bool = False) -> Callable:
 
 
 choosing("f6_alpha_grid", votes.ALPHAS, (5,), None)
+choosing("f6a_joint_grid_mcc", votes.ALPHAS, votes.N_VOTES, None, "mcc")
+choosing("f6a_joint_grid_combined", votes.ALPHAS, votes.N_VOTES, None, "combined")
+choosing("f6a_joint_grid_utopia", votes.ALPHAS, votes.N_VOTES, None, "utopia")
 choosing("e3_votes_grid", (1.0,), votes.N_VOTES, None)
 choosing("e4_joint_grid", votes.ALPHAS, votes.N_VOTES, None)
 choosing("f6_rank_vote_alpha", votes.ALPHAS, (5,), chosen_vote())
@@ -281,6 +285,18 @@ def stored(spark: SparkSession, sf_dir: str, change: Callable[[ResultStore], obj
     return store.load().groupBy("algorithm").agg(F.count("*").alias("n"))
 
 
+@query
+def s1_csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables written as CSV, found again as labelled ones, and summed up."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    for t, c in (("customer", "c_acctbal"), ("supplier", "s_acctbal")):
+        own = load(spark, sf_dir, t)
+        own.select(*own.columns[2:], (F.col(c) < 0).cast("int").alias("target")).coalesce(1).write.mode("append").option("header", True).csv(path)
+    found = summary(csv_folder(spark, path))
+    return rounded(found.drop("dataset"))
+
+
 @query
 def s4_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, lambda store: None).withColumnRenamed("algorithm", "event_type")
@@ -503,6 +519,34 @@ def x10_duel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(studies.selection_accuracy(nations(spark, sf_dir), studies.duel(own, *studies.leading_pair(own))))
 
 
+def told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features and label: which of the two leading priorities is better in a nation."""
+    from pyspark.ml.functions import array_to_vector
+
+    own = results(spark, sf_dir)
+    rows = nations(spark, sf_dir).join(studies.duel(own, *studies.leading_pair(own)), "dataset")
+    return rows.select(array_to_vector("v").alias("features"), F.col("label").cast("double").alias("label")).orderBy("id")
+
+
+@query
+def x11_learners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nations two of the meta-learners tell, of those that they have learnt; boosted trees and the linear machine take minutes of small jobs."""
+    data, out = told_apart(spark, sf_dir).cache(), None
+    for name in ("logistic", "forest"):
+        learner = meta.learners()[name]
+        one = learner.fit(data).transform(data).agg(F.lit(name).alias("learner"), F.count_if(F.col("prediction") == F.col("label")).alias("right"), F.count("*").alias("n"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def x12_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, rows = told_apart(spark, sf_dir).cache(), []
+    for name in ("logistic", "forest"):
+        rows += [(name, f, float(v)) for f, v in meta.importances(meta.learners()[name].fit(data), data, ["customers", "balance", "debtors"])]
+    return spark.createDataFrame(rows, "learner string, feature string, importance double")
+
+
 @query
 def h8_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = counts(spark, sf_dir).groupBy("algorithm").agg(F.count_if(F.col("y") == 1).alias("w"), F.count("*").alias("n"))
@@ -538,6 +582,13 @@ def g17_votes_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.peaks(out)
 
 
+@query
+def z4_noise_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that noise needs, by rows and places."""
+    cells = [(n, p) for n in (20, 50, 200) for p in (2, 8, 32)]
+    return studies.simulated(spark, cells, ("n", "p"), lambda n, p: iter([(n, p, geometry.noise_components(n, p))]), "n long, p long, components double")
+
+
 @query
 def z6_odds_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(studies.odds_errors(spark))
