@@ -124,34 +124,33 @@ class Attention:
         h2 = h1 + a @ p["B"]
         return h, q, k2, v2, s, c, h1, a, h2.reshape(n * STRIDE, WIDTH)
 
-    def parts(self, h2: np.ndarray, slot: np.ndarray) -> Iterator[tuple]:
-        """Softmaxes: weights' names, index of one of several, rows of h2 (None: all), inputs, logits and the right answers."""
-        cls, leaf = slot // LEAVES, slot % LEAVES
-        yield "W", "b", None, None, h2, h2 @ self.p["W"] + self.p["b"], cls
+    def outputs(self, h2: np.ndarray, slot: np.ndarray) -> tuple:
+        """Logits of classes, and, by class, of the slots in each right answer's class: right classes, right leaves by class, the order by class, each class's bounds in it, h2 in it, and both kinds of logits."""
+        cls = slot // LEAVES
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        sorted_h, sorted_leaf = h2[order], leaf[order]
+        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        own, leaves = h2[order], np.empty((len(h2), LEAVES), np.float32)
         for k in range(CLASSES):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                yield "W2", "b2", k, order[a:b], sorted_h[a:b], sorted_h[a:b] @ self.p["W2"][k] + self.p["b2"][k], sorted_leaf[a:b]
+            if bounds[k] < bounds[k + 1]:
+                np.matmul(own[bounds[k] : bounds[k + 1]], self.p["W2"][k], out=leaves[bounds[k] : bounds[k + 1]])
+        leaves += self.p["b2"][cls[order]]
+        return cls, (slot % LEAVES)[order], order, bounds, own, h2 @ self.p["W"] + self.p["b"], leaves
 
     def log10(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Log10 chance of each next slot (rows, STRIDE)."""
-        flat = slot.ravel()
+        at = np.arange(slot.size)
         for safe in (False, True):
             with np.errstate(all="ignore"):
-                out = np.zeros(len(flat), np.float32)
-                for _, _, _, rows, _, z, right in self.parts(self.forward(x, before, safe)[-1], flat):
+                cls, leaf, order, _, _, *both = self.outputs(self.forward(x, before, safe)[-1], slot.ravel())
+                got = []
+                for z, right in zip(both, (cls, leaf), strict=True):
                     if safe:
                         z -= z.max(axis=1, keepdims=True)
-                    own = z[np.arange(len(z)), right]
+                    own = z[at, right]
                     np.exp(z, out=z)
-                    own -= np.log(z @ np.ones(z.shape[1], np.float32))
-                    if rows is None:
-                        out += own
-                    else:
-                        out[rows] += own
+                    got.append(own - np.log(z @ np.ones(z.shape[1], np.float32)))
+                out = got[0]
+                out[order] += got[1]
             if np.isfinite(out).all():
                 break
         return (out / np.float32(math.log(10))).reshape(slot.shape)
@@ -160,24 +159,26 @@ class Attention:
         p, n, d = self.p, len(x), WIDTH
         h, q, k2, v2, s, c, h1, a, h2 = self.forward(x, before)
         ok = good.ravel()
-        share, use_ones = (ok / max(1, ok.sum())).astype(np.float32), np.ones(len(ok), np.float32)
-        loss, g, dh2 = 0.0, {"W2": np.zeros_like(p["W2"]), "b2": np.zeros_like(p["b2"])}, np.zeros_like(h2)
-        for w, bias, k, rows, own, z, right in self.parts(h2, slot.ravel()):
-            use = share if rows is None else share[rows]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            one = np.ones(z.shape[1], z.dtype)
-            z *= (1 / (z @ one))[:, None]
-            at = np.arange(len(z))
-            loss -= float(np.log(z[at, right] + 1e-20) @ use)
-            z[at, right] -= 1
-            z *= use[:, None]
-            if k is None:
-                g[w], g[bias] = own.T @ z, use_ones[: len(z)] @ z
-                dh2 += z @ p[w].T
-            else:
-                g[w][k], g[bias][k] = own.T @ z, use_ones[: len(z)] @ z
-                dh2[rows] += z @ p[w][k].T
+        share, at, ones = (ok / max(1, ok.sum())).astype(np.float32), np.arange(len(ok)), np.ones(len(ok), np.float32)
+        cls, leaf, order, bounds, own, z, leaves = self.outputs(h2, slot.ravel())
+        loss = 0.0
+        for y, right, use in ((z, cls, share), (leaves, leaf, share[order])):
+            y -= y.max(axis=1, keepdims=True)
+            np.exp(y, out=y)
+            y *= (1 / (y @ np.ones(y.shape[1], np.float32)))[:, None]
+            loss -= float(np.log(y[at, right] + 1e-20) @ use)
+            y[at, right] -= 1
+            y *= use[:, None]
+        g = {"W": h2.T @ z, "b": ones @ z, "W2": np.zeros_like(p["W2"]), "b2": np.zeros_like(p["b2"])}
+        back = np.empty_like(own)
+        for k in range(CLASSES):
+            low, high = bounds[k], bounds[k + 1]
+            if low < high:
+                g["W2"][k] = own[low:high].T @ leaves[low:high]
+                g["b2"][k] = ones[low:high] @ leaves[low:high]
+                np.matmul(leaves[low:high], p["W2"][k].T, out=back[low:high])
+        dh2 = z @ p["W"].T
+        dh2[order] += back
         two = lambda y: y.reshape(-1, y.shape[-1])
         dh2 = dh2.reshape(n, STRIDE, d)
         g["B"] = two(a).T @ two(dh2)
