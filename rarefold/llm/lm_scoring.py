@@ -30,7 +30,7 @@ SLOTS, OWN = CLASSES * LEAVES, CLASSES * LEAVES - 16
 START = 256
 #: Times that tasks' weights are averaged, and ids that are learnt from at least: small corpora are gone over more than once.
 ROUNDS, LEAST = 4, 1500 * 256 * STRIDE
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 ROWS = 256
 END = 0
 #: Ids that are laid out for training at a time, groups of sums, and the first round's rate.
@@ -107,22 +107,26 @@ class Attention:
 
     def forward(self, x: np.ndarray, before: np.ndarray, safe: bool = True) -> tuple:
         """x: inputs (rows, STRIDE); before: index of the row before, or -1. Unless safe, large exponents may overflow."""
-        p, n = self.p, len(x)
+        p, n, d = self.p, len(x), WIDTH
         h = p["E"][x]
-        q, k, v = h @ (p["Q"] / np.float32(math.sqrt(WIDTH))), h @ p["K"], h @ p["V"]
-        k2, v2 = np.concatenate([k[before], k], axis=1), np.concatenate([v[before], v], axis=1)
+        every = h @ np.concatenate([p["Q"] / np.float32(math.sqrt(d)), p["K"], p["V"]], axis=1)
+        q = every[:, :, :d]
+        both = np.empty((n, 2 * STRIDE, 2 * d), np.float32)  # keys and values of the row before, then of the own
+        both[:, :STRIDE] = every[before, :, d:]
+        both[:, STRIDE:] = every[:, :, d:]
+        k2, v2 = both[:, :, :d], both[:, :, d:]
         s = q @ k2.transpose(0, 2, 1)
         s += p["D"][np.clip(FAR, 0, 2 * STRIDE - 1)] + MASK
         s[before < 0, :, :STRIDE] = -1e9
         if safe:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s *= 1 / (s @ np.ones((2 * STRIDE, 1), np.float32))
         c = s @ v2
         h1 = h + c @ p["O"]
         a = np.maximum(h1 @ p["A"], 0)
         h2 = h1 + a @ p["B"]
-        return h, q, k2, v2, s, c, h1, a, h2.reshape(n * STRIDE, WIDTH)
+        return h, q, both, s, c, h1, a, h2.reshape(n * STRIDE, d)
 
     def outputs(self, h2: np.ndarray, slot: np.ndarray) -> tuple:
         """Logits of classes, and, by class, of the slots in each right answer's class: right classes, right leaves by class, the order by class, each class's bounds in it, h2 in it, and both kinds of logits."""
@@ -157,13 +161,18 @@ class Attention:
 
     def gradient(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray, good: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, n, d = self.p, len(x), WIDTH
-        h, q, k2, v2, s, c, h1, a, h2 = self.forward(x, before)
+        with np.errstate(all="ignore"):
+            made = self.forward(x, before, safe=False)
+        if not np.isfinite(made[-1]).all():
+            made = self.forward(x, before)
+        h, q, both, s, c, h1, a, h2 = made
         ok = good.ravel()
         share, at, ones = (ok / max(1, ok.sum())).astype(np.float32), np.arange(len(ok)), np.ones(len(ok), np.float32)
         cls, leaf, order, bounds, own, z, leaves = self.outputs(h2, slot.ravel())
         loss = 0.0
         for y, right, use in ((z, cls, share), (leaves, leaf, share[order])):
-            y -= y.max(axis=1, keepdims=True)
+            if max(y.max(), -y.min()) > 60:
+                y -= y.max(axis=1, keepdims=True)
             np.exp(y, out=y)
             y *= (1 / (y @ np.ones(y.shape[1], np.float32)))[:, None]
             loss -= float(np.log(y[at, right] + 1e-20) @ use)
@@ -187,17 +196,22 @@ class Attention:
         dh1 = dh2 + da @ p["A"].T
         g["O"] = two(c).T @ two(dh1)
         dc = dh1 @ p["O"].T
-        ds, dv2 = dc @ v2.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dc
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds = dc @ both[:, :, d:].transpose(0, 2, 1)
+        ds *= s
+        ds -= s * (ds @ np.ones((2 * STRIDE, 1), np.float32))
         g["D"] = np.bincount(np.clip(FAR, 0, 2 * STRIDE - 1).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
-        dq, dk2 = ds @ k2, ds.transpose(0, 2, 1) @ q
-        dk, dv = dk2[:, STRIDE:].copy(), dv2[:, STRIDE:].copy()
+        back2 = np.empty_like(both)  # of keys and values
+        back2[:, :, :d] = ds.transpose(0, 2, 1) @ q
+        back2[:, :, d:] = s.transpose(0, 2, 1) @ dc
+        every = np.empty((n, STRIDE, 3 * d), np.float32)
+        every[:, :, :d] = ds @ both[:, :, :d]
+        every[:, :, d:] = back2[:, STRIDE:]
         has = before >= 0  # a row is before one other at most
-        dk[before[has]] += dk2[has, :STRIDE]
-        dv[before[has]] += dv2[has, :STRIDE]
+        every[before[has], :, d:] += back2[has, :STRIDE]
         root = np.float32(math.sqrt(d))
-        g |= {"Q": two(h).T @ two(dq) / root, "K": two(h).T @ two(dk), "V": two(h).T @ two(dv)}
-        dh = dh1 + dq @ p["Q"].T / root + dk @ p["K"].T + dv @ p["V"].T
+        g["Q"], g["K"], g["V"] = np.split(two(h).T @ two(every), 3, axis=1)
+        g["Q"] = g["Q"] / root
+        dh = dh1 + every @ np.concatenate([p["Q"] / root, p["K"], p["V"]], axis=1).T
         g["E"] = np.zeros_like(p["E"])
         order = np.argsort(x.ravel(), kind="stable")
         own, first = np.unique(x.ravel()[order], return_index=True)
