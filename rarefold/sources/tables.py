@@ -23,7 +23,7 @@ class Settings:
     targets: Sequence[str] = TARGETS
     min_ratio: float = 0.0
     least_rows: int = 10
-    most_rows: int = 50_000
+    most_rows: int | None = 50_000  # None: any
     exclude: Sequence[str] = ("dataset_1039_hiva_agnostic",)
 
 
@@ -50,7 +50,7 @@ def labelled(df: DataFrame, name: str, settings: Settings = Settings()) -> Label
     target = target_column(df.columns, settings)
     counts = {r[0]: r[1] for r in df.where(F.col(f"`{target}`").isNotNull()).groupBy(f"`{target}`").count().limit(3).collect()}
     n = sum(counts.values())
-    if len(counts) != 2 or not settings.least_rows <= n <= settings.most_rows:
+    if len(counts) != 2 or n < settings.least_rows or settings.most_rows is not None and n > settings.most_rows:
         return None
     rare = min(sorted(counts), key=counts.get)
     ratio = min(counts.values()) / max(counts.values())

@@ -288,3 +288,11 @@ def test_a_store_outlives_a_change_that_stops_half_way(spark, tmp_path):
 def test_numbers_without_gaps(spark):
     got = sorted(r["n"] for r in preprocessing.numbered(spark.range(1000).repartition(5), "id", "n").collect())
     assert got == list(range(1000))
+
+
+def test_csv_tables_of_any_size_are_found(spark, tmp_path):
+    for t, n in (("customer", 50_001), ("supplier", 20)):
+        spark.range(n).selectExpr("id AS key", "id AS name", "concat('w', id) AS w", f"IF(id % 4 = 0, -1.0D, 1.0D) AS {t[0]}_acctbal").write.parquet(str(tmp_path / f"{t}.parquet"))
+    from rarefold.plans.queries import QUERIES
+
+    assert sorted(r["n"] for r in QUERIES["s1_csv_tables"](spark, str(tmp_path)).collect()) == [20, 50_001]
