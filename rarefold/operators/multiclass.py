@@ -97,15 +97,16 @@ def ranked_label(queries: DataFrame, train: DataFrame, *, n_votes: int = 5, buff
     counts = {r[0]: r[1] for r in train.groupBy("y").count().collect()}
     runs = [[c for c in counts if c != x] for x in counts] if excluded and len(counts) > 2 else [list(counts)]
     own = ratios(counts)
-    fetch = dict(counts) if excluded else {c: min(min(max(int(np.ceil(own[c])) * n_votes + buffer, floor), cap), counts[c]) for c in counts}
+    plans = [(k, c, ratios({x: counts[x] for x in run})[c]) for k, run in enumerate(runs) for c in run]
+    if excluded:  # all that n_votes rounds of any run reach
+        fetch = {c: min(max(int(np.ceil(k * n_votes)) for _, x, k in plans if x == c), counts[c]) for c in counts}
+    else:
+        fetch = {c: min(min(max(int(np.ceil(own[c])) * n_votes + buffer, floor), cap), counts[c]) for c in counts}
     lists = searched(queries, train, fetch)
-    table = [(k, c, ratios({x: counts[x] for x in run})[c]) for k, run in enumerate(runs) for c in run]
-    plan = queries.sparkSession.createDataFrame(table, "run int, label int, k double")  # a row per class and run
-    each = lists.join(F.broadcast(plan), "label").withColumn("room", F.floor(F.size("near") / F.col("k")))
-    from pyspark.sql import Window as W
-
-    rounds = F.greatest(F.lit(1), F.least(F.lit(n_votes), F.min("room").over(W.partitionBy("id", "run")))).cast("int")
-    each = each.withColumn("rounds", rounds).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
+    rows = counts if excluded else fetch  # M2 may use whole classes, M1 what it fetched
+    rounds = [max(1, min(n_votes, *[int(rows[c] / k) for r, c, k in plans if r == run])) for run in range(len(runs))]
+    plan = queries.sparkSession.createDataFrame([(r, c, k, rounds[r]) for r, c, k in plans], "run int, label int, k double, rounds int")  # a row per class and run
+    each = lists.join(F.broadcast(plan), "label").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
     dist = each.withColumn("d", at_rank(F.col("near"), F.col("i") * F.col("k")))
     wins = dist.groupBy("id", "y", "run", "rounds", "i").agg(F.min(F.struct("d", "label")).alias("m"))
     shares = wins.groupBy("id", "y", F.col("m.label").alias("label")).agg(F.sum(1 / F.col("rounds")).alias("s"))

@@ -168,3 +168,21 @@ def test_lid(spark):
     d = [0.0, 0.5, 1.0, 2.0]
     got = spark.createDataFrame([(d,), ([1.0],), ([2.0, 2.0],)], "d array<double>").select(votes.lid(F.col("d")).alias("l")).collect()
     assert np.allclose([r["l"] for r in got], [1 / np.mean(np.log(2.0 / np.array([0.5, 1.0]))), 1.0, 2.0])
+
+
+def test_lists_without_classes_take_what_their_rounds_reach(task, monkeypatch):
+    *_, dq, dt = task
+    dt = dt.withColumn("y", F.col("id").cast("int") % 3)
+    asked, search = [], multiclass.searched
+    monkeypatch.setattr(multiclass, "searched", lambda q, t, k: asked.append(k) or search(q, t, k))
+    got = multiclass.ranked_label(dq, dt, excluded=True).orderBy("id").collect()
+    assert max(asked[0].values()) == 5  # of 40 rows a class
+    monkeypatch.setattr(multiclass, "searched", lambda q, t, k: search(q, t, 40))
+    assert multiclass.ranked_label(dq, dt, excluded=True).orderBy("id").collect() == got
+
+
+def test_training_rows_of_many_blocks_are_shuffled_once(task, monkeypatch):
+    *_, dq, dt = task
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 17)
+    plan = neighbours.class_lists(dq, dt, 7, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "CoGroup" not in plan and plan.count("Repartition") == 1
