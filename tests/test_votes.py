@@ -186,3 +186,19 @@ def test_training_rows_of_many_blocks_are_shuffled_once(task, monkeypatch):
     monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 17)
     plan = neighbours.class_lists(dq, dt, 7, 30)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and "CoGroup" not in plan and plan.count("Repartition") == 1
+
+
+@pytest.mark.parametrize("name,model", [("l2_rank_vote_local_count", "rank_local_count"), ("l3_rank_vote_bayesian", None)])
+def test_local_counts_reach_the_reference_row(spark, tmp_path, name, model):
+    from rarefold.plans import queries
+
+    x, y, _ = cloud(seed=4, n=600, rare=230)
+    frame(spark, x, y).selectExpr("id AS vec_id", "1 - y AS label", "v AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked, lists = [], queries.class_lists
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "class_lists", lambda q, t, k, *a: asked.append(k) or lists(q, t, k, *a))
+        got = fractions(queries.QUERIES[name](spark, str(tmp_path)))
+    at = np.arange(600) % 5 != 0
+    assert asked == [13] and int((y[at] == 1).sum()) == 184
+    if model:
+        assert np.allclose(got, lm.MODELS[model](lm.Fold(x[at], y[at], x[~at])), atol=1e-9)
