@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarefold.functions import distance
+from rarefold.functions import distance, geometry
 from rarefold.operators import local_models as lm
 from rarefold.operators import multiclass, neighbours, selection, votes
 
@@ -202,3 +202,49 @@ def test_local_counts_reach_the_reference_row(spark, tmp_path, name, model):
     assert asked == [13] and int((y[at] == 1).sum()) == 184
     if model:
         assert np.allclose(got, lm.MODELS[model](lm.Fold(x[at], y[at], x[~at])), atol=1e-9)
+
+
+LOCAL = ("knn_components", "knn_topology", "knn_two_anchors", "knn_local_metric", "knn_local_metric_entropy", "knn_local_metric_eigen", "rank_density_regions", "rank_regions", "rank_trusted_regions", "rank_scale", "knn_synthetic_best_k")
+
+
+@pytest.mark.parametrize("name", LOCAL)
+def test_models_hold_a_part_of_the_distances_at_once(name, monkeypatch):
+    x, y, q = cloud(seed=2, n=200, rare=40)
+    want = lm.MODELS[name](lm.Fold(x, y, q))
+    monkeypatch.setattr(lm, "PART", 1000)
+    cells, pairs, fits = [], lm.pairwise, []
+    monkeypatch.setattr(lm, "pairwise", lambda a, b: cells.append(len(a) * len(b) if len(b) >= 100 else 0) or pairs(a, b))
+    for of in ("regions", "synthetic", "k_means"):
+        monkeypatch.setattr(lm, of, lambda *a, f=getattr(lm, of): fits.append(1) or f(*a))
+    got = np.concatenate([lm.MODELS[name](f) for f in lm.Fold(x, y, q).parts()])
+    assert np.array_equal(got, want) and (max(cells) <= 1000 or name == "rank_trusted_regions")  # that one's inner folds are whole
+    assert len(fits) <= (21 if name == "rank_trusted_regions" else 1)
+
+
+def test_first_of_a_stable_order():
+    d = np.random.default_rng(0).integers(0, 9, (20, 60)).astype(float)
+    for k in (1, 7, 60, 80):
+        assert np.array_equal(geometry.smallest(d, k), np.argsort(d, axis=1, kind="stable")[:, :k])
+
+
+def test_ward_joins_the_cheapest():
+    x = np.round(np.random.default_rng(0).standard_normal((150, 3)), 1)
+    merges, heights = geometry.ward(x)
+    centre, size = dict(enumerate(x)), dict.fromkeys(range(150), 1)
+    for (i, j), h in zip(merges.tolist(), heights, strict=True):
+        assert np.isclose(h, np.sqrt(2 * size[i] * size[j] / (size[i] + size[j]) * ((centre[i] - centre[j]) ** 2).sum()))
+        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        size[i] += size.pop(j)
+    assert size == {0: 150} and (np.diff(heights) >= 0).all()
+
+
+def test_local_queries_shuffle_training_rows_once(spark, tmp_path):
+    from rarefold.plans import queries
+
+    x, y, _ = cloud()
+    frame(spark, x, y).selectExpr("id AS vec_id", "1 - y AS label", "v AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["k6_knn_local_metric"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    at = np.arange(120) % 5 != 0
+    assert "Generate" not in plan and "CoGroup" not in plan
+    assert np.array_equal(fractions(got), lm.MODELS["knn_local_metric"](lm.Fold(x[at], y[at], x[~at])))
