@@ -306,6 +306,16 @@ def test_near_dup(docs, empty, width, monkeypatch):
         assert near_dup.grouped(empty).count() == 0
 
 
+def test_near_dup_shuffles_few_texts(spark):
+    all_ = spark.range(20_000).select(F.col("id").alias("uid"), F.col("id").cast("string").cast("binary").alias("bytes_"))
+    wanted = spark.range(0, 20_000, 40).select(F.col("id").alias("node"))
+    got = rows(near_dup.fetched(wanted, all_))
+    assert sorted((r["node"], bytes(r["bytes_"])) for r in got) == [(i, b"%d" % i) for i in range(0, 20_000, 40)]
+    passed = near_dup.likely(all_.withColumnRenamed("uid", "node"), wanted, "node").count()
+    assert 500 <= passed < 600  # the rows that a join with the wanted ones shuffles
+    assert near_dup.likely(wanted, wanted.limit(0), "node").count() == 0
+
+
 def test_near_dup_of_large_groups(spark, monkeypatch):
     """Groups larger than a list, of long and short texts, some linked only over others."""
     rnd = random.Random(2)
