@@ -92,9 +92,9 @@ class Model:
 
     def learn(self, rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 6) -> Model:
         """rows: features, values and label. The last coordinate is the intercept."""
-        own = [(np.append(i, 1 << self.bits), np.append(v, 1.0), y) for i, v, y in rows]
         for _ in range(rounds):
-            for at, v, y in own:
+            for i, values, y in rows:
+                at, v = np.append(i, 1 << self.bits), np.append(values, 1.0)
                 w = self.weights(at)
                 g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - y) * v
                 n = self.n[at]
@@ -129,9 +129,11 @@ def trained(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text:
             got = [grams.counted(t) for t in batch["bytes_"]]
             yield pd.DataFrame({"id_": batch["id_"], "y_": batch["y_"], "at": [i.astype("<i4").tobytes() for i, _ in got], "v": [v.tobytes() for _, v in got]})
 
-    rows = own.mapInPandas(features, "id_ long, y_ int, at binary, v binary").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r["id_"]), r["id_"], r["at"]))[:sample]
-    model = Model().learn([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["v"], np.float32), r["y_"]) for r in rows])
+    got = own.mapInPandas(features, "id_ long, y_ int, at binary, v binary").toArrow()
+    ids, y = got["id_"].to_pylist(), got["y_"].to_pylist()  # an id has one row
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(b"%d" % ids[k]), ids[k]))[:sample]
+    at, v = ([x.as_buffer() for x in got[c]] for c in ("at", "v"))  # views, no copies
+    model = Model().learn([(np.frombuffer(at[k], "<i4"), np.frombuffer(v[k], np.float32), y[k]) for k in order])
     return model.weights(slice(None)).astype(np.float32)
 
 
