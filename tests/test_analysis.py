@@ -161,6 +161,22 @@ def test_benchmark_store(spark, tmp_path):
     assert store.load().count() == 12
 
 
+def test_loops_are_reduced_only_where_bounds_leave_it_open(monkeypatch):
+    rng, plain, asked = np.random.default_rng(3), geometry.loops, []
+    monkeypatch.setattr(geometry, "loops", lambda d: asked.append(len(d)) or plain(d))
+    for n, dims in ((3, 1), (12, 2), (18, 3), (18, 8)):
+        x = rng.standard_normal((n, dims)).round(1)
+        d = geometry.pairwise(x, x)
+        total = np.ptp(plain(d), axis=1).sum()
+        for share in (0.0, 0.3, 0.9, 1.1):
+            assert geometry.looped(d, total * share) == (total > total * share)
+    x, y = rng.standard_normal((400, 8)), np.arange(400) % 20 == 0
+    asked.clear()
+    f = local_models.Fold(x, y.astype(int), x[:6])
+    got = [local_models.topology_k(f, own) for own in f.nearest(19)]
+    assert not asked and got == [1] * 6  # wide clouds of eight places have loops enough
+
+
 def test_trees_and_loops():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal((15, 2)), rng.standard_normal((15, 2)) + 20])
