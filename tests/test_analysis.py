@@ -1,5 +1,7 @@
 """Preparation, metrics, statistics, results on disk and geometry, against hand counts and published values."""
 
+import sys
+
 import math
 
 import numpy as np
@@ -177,6 +179,19 @@ def test_loops_are_reduced_only_where_bounds_leave_it_open(monkeypatch):
     assert not asked and got == [1] * 6  # wide clouds of eight places have loops enough
 
 
+def test_ward_searches_many_clusters_at_once():
+    x, calls = np.random.default_rng(4).standard_normal((600, 8)), []
+    sys.setprofile(lambda frame, event, _: calls.append(1) if event == "call" and frame.f_code.co_filename == geometry.__file__ else None)
+    try:
+        merges, heights = geometry.ward(x)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 100 and len(merges) == 599  # not a search for each merge
+    for few in (np.repeat(x[:9], 3, axis=0), np.stack(np.meshgrid(range(5), range(5)), axis=-1).reshape(-1, 2)):
+        merges, heights = geometry.ward(few)
+        assert len(merges) == len(few) - 1 and (np.diff(heights) >= 0).all() and len(np.unique(geometry.cut(len(few), merges, len(few) - 3))) == 3
+
+
 def test_trees_and_loops():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal((15, 2)), rng.standard_normal((15, 2)) + 20])
