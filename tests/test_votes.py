@@ -73,6 +73,20 @@ def test_any_distance(task):
         assert (np.array(got) == want).all()
 
 
+def test_far_pairs_are_dropped_before_they_are_ranked(spark):
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (20, 3)).astype(float)  # many ties
+    dt, dq = frame(spark, x), frame(spark, q, start=1000)
+    assert not [w for w in ("Cartesian", "NestedLoop") if w in neighbours.joined(dq, dt, 5)._jdf.queryExecution().toString()]
+    for of, rows, k in ((distance.manhattan, 300, 5), (distance.manhattan, 7, 5), (distance.cosine, 300, 3)):
+        d = of(F.col("a.v"), F.col("b.v")).alias("d")
+        pairs = dq.alias("a").join(dt.where(F.col("id") < rows).alias("b")).select(F.col("a.id").alias("q"), d, F.col("b.id").alias("t")).collect()
+        got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in neighbours.joined(dq, dt.where(F.col("id") < rows), k, of).collect()}
+        for i in got:
+            assert got[i] == sorted([(r["d"], r["t"]) for r in pairs if r["q"] == i], key=lambda p: (p[0] is not None, p))[:k]
+        assert len(got) == 20
+
+
 def test_empty_classes(spark):
     one = frame(spark, np.zeros((3, 2)), np.zeros(3))
     s = neighbours.sizes(one)
