@@ -65,6 +65,25 @@ def test_blocks_give_the_same_lists(task, monkeypatch):
     assert {r["id"]: r["near"] for r in neighbours.nearest(dq, dt, 9).collect()} == near
 
 
+@pytest.mark.parametrize("shift,scale", [(0, 1), (1e6, 1), (0, 1e25), (0, 1e-25)])
+@pytest.mark.parametrize("k", [3, 40, 700])
+def test_lists_are_exact_in_single_precision(shift, scale, k, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((600, 5)), 1)  # with equal distances
+    x, own = np.concatenate([x, x[:60]]) * scale + shift, rng.integers(0, 3, 660)
+    q, mine, full, kinds = x[::40], own[::40], neighbours.distances, []
+    made = neighbours.Rough.__init__
+    monkeypatch.setattr(neighbours.Rough, "__init__", lambda self, t, kind: kinds.append(kind) or made(self, t, kind))
+    lists = neighbours.Lists(q, k, mine)
+    for i in range(0, 660, 110):
+        lists.add(x[i : i + 110], np.zeros(110, int), np.arange(i, i + 110), own[i : i + 110])
+    for row, (d, at) in enumerate(zip(*lists.of(0), strict=True)):
+        want = full(q[row], x)
+        order = np.argsort(np.where(own == mine[row], np.inf, want), kind="stable")[: min(k, int((own != mine[row]).sum()))]
+        assert at.tolist() == order.tolist() and d.tolist() == want[order].tolist()
+    assert (np.float64 in kinds) == (abs(np.log10(scale)) > 20) or shift
+
+
 def test_any_distance(task):
     x, _, q, dq, dt = task
     for of, plain in ((distance.euclidean, lambda d: np.sqrt((d**2).sum(-1))), (distance.manhattan, lambda d: np.abs(d).sum(-1)), (distance.minkowski(3), lambda d: (np.abs(d) ** 3).sum(-1) ** (1 / 3))):
