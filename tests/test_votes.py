@@ -84,6 +84,18 @@ def test_lists_are_exact_in_single_precision(shift, scale, k, monkeypatch):
     assert (np.float64 in kinds) == (abs(np.log10(scale)) > 20) or shift
 
 
+def test_majorities_leave_tasks_as_numbers(task):
+    _, _, _, dq, dt = task
+    near = {r["id"]: [n["label"] for n in r["near"]] for r in neighbours.nearest(dq, dt, 9).collect()}
+    ks = [1, 2, 4, 9]
+    got = {r["id"]: r["said"] for r in neighbours.majorities(dq, dt, ks).collect()}
+    assert got == {i: [int(sum(own[:k]) * 2 > k) if sum(own[:k]) * 2 != k else own[0] for k in ks] for i, own in near.items()}
+    alone = selection.fold_of(dt.limit(1), 1)
+    assert [r["said"] for r in neighbours.majorities(alone, alone, ks, "fold").collect()] == [[-1] * 4]
+    plan = selection.k_scores(selection.folds(dt, 3), ks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" not in plan and "said" in plan
+
+
 def test_any_distance(task):
     x, _, q, dq, dt = task
     for of, plain in ((distance.euclidean, lambda d: np.sqrt((d**2).sum(-1))), (distance.manhattan, lambda d: np.abs(d).sum(-1)), (distance.minkowski(3), lambda d: (np.abs(d) ** 3).sum(-1) ** (1 / 3))):
