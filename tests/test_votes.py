@@ -1,5 +1,7 @@
 """Votes and neighbour lists in Spark against the numpy models of one training set."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +268,21 @@ def test_models_hold_a_part_of_the_distances_at_once(name, monkeypatch):
     assert len(fits) <= (21 if name == "rank_trusted_regions" else 1)
 
 
+@pytest.mark.parametrize("name", ["knn_local_metric", "knn_local_metric_entropy"])
+def test_metrics_meet_some_training_rows_at_once(name, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((30000, 16)), rng.integers(0, 2, 30000)
+    f = lm.Fold(x, y, x[:2] + 0.1)
+    f.nearest(200)
+    tracemalloc.start()
+    got = lm.MODELS[name](f)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes
+    monkeypatch.setattr(lm, "ROWS", 30000)
+    assert np.array_equal(got, lm.MODELS[name](f))
+
+
 def test_first_of_a_stable_order():
     d = np.random.default_rng(0).integers(0, 9, (20, 60)).astype(float)
     for k in (1, 7, 60, 80):
