@@ -11,7 +11,7 @@ of about equal weight.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,22 +73,37 @@ FAR = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]  # ho
 MASK = np.where(FAR >= 0, 0.0, -1e9).astype(np.float32)
 
 
+def by_block(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """a @ w, for each STRIDE rows alone: what a row gets doesn't depend, by rounding, on how many others there are."""
+    return (a.reshape(-1, STRIDE, a.shape[1]) @ w).reshape(len(a), -1)
+
+
 class Adam:
-    """Steps of parameters p, in place."""
+    """Steps of parameters p, in place: they become parts of one vector, so that a step takes few passes."""
 
     def __init__(self, p: dict[str, np.ndarray]) -> None:
-        self.p, self.t = p, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(w) for k, w in p.items()}
+        self.p, self.t, at = p, 0, 0
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        for k, v in p.items():
+            p[k] = self.flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        p, m, v = self.p, self.m, self.v
         lr = rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
-            p[k] -= (lr * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+        all_ = np.concatenate([g[k].ravel() for k in self.p])
+        self.m *= 0.9
+        self.m += 0.1 * all_
+        all_ *= all_
+        all_ *= 0.01
+        self.v *= 0.99
+        self.v += all_
+        np.sqrt(self.v, out=all_)
+        all_ += 1e-8
+        np.divide(self.m, all_, out=all_)
+        all_ *= lr
+        self.flat -= all_
 
 
 class Attention:
@@ -105,59 +120,80 @@ class Attention:
         weight = weight.reshape(CLASSES, LEAVES)
         self.p |= {"b": np.log(weight.sum(axis=1) / weight.sum()).astype(np.float32), "b2": np.log(weight / weight.sum(axis=1, keepdims=True)).astype(np.float32)}
 
-    def forward(self, x: np.ndarray, before: np.ndarray, safe: bool = True) -> tuple:
-        """x: inputs (rows, STRIDE); before: index of the row before, or -1. Unless safe, large exponents may overflow."""
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """From inputs to queries that meet inputs themselves, and from weighted inputs to what is added: Q with K, and V with O, of which only the products matter."""
+        p = self.p
+        return p["Q"] @ p["K"].T / np.float32(math.sqrt(WIDTH)), p["V"] @ p["O"]
+
+    def forward(self, x: np.ndarray, before: np.ndarray, safe: bool = True, times: Callable = np.matmul) -> tuple:
+        """x: inputs (rows, STRIDE); before: -1 for rows that have none before, else the index of the row above. Unless safe, large exponents may overflow.
+
+        Weights of keys come without their division by their sums. The last result has a one as its last column, which biases meet.
+        """
         p, n, d = self.p, len(x), WIDTH
-        h = p["E"][x]
-        every = h @ np.concatenate([p["Q"] / np.float32(math.sqrt(d)), p["K"], p["V"]], axis=1)
-        q = every[:, :, :d]
-        both = np.empty((n, 2 * STRIDE, 2 * d), np.float32)  # keys and values of the row before, then of the own
-        both[:, :STRIDE] = every[before, :, d:]
-        both[:, STRIDE:] = every[:, :, d:]
-        k2, v2 = both[:, :, :d], both[:, :, d:]
-        s = q @ k2.transpose(0, 2, 1)
+        h = np.empty((n + 1, STRIDE, d), np.float32)
+        h[0] = 0
+        np.take(p["E"], x, axis=0, out=h[1:], mode="clip")
+        both = np.lib.stride_tricks.as_strided(h, (n, 2 * STRIDE, d), h.strides, writeable=False)  # the row above, then the own
+        flat = h[1:].reshape(-1, d)
+        into, added = self.folded()
+        q = times(flat, into).reshape(n, STRIDE, d)
+        s = q @ both.transpose(0, 2, 1)
         s += p["D"][np.clip(FAR, 0, 2 * STRIDE - 1)] + MASK
         s[before < 0, :, :STRIDE] = -1e9
         if safe:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s *= 1 / (s @ np.ones((2 * STRIDE, 1), np.float32))
-        c = s @ v2
-        h1 = h + c @ p["O"]
-        a = np.maximum(h1 @ p["A"], 0)
-        h2 = h1 + a @ p["B"]
-        return h, q, both, s, c, h1, a, h2.reshape(n * STRIDE, d)
-
-    def outputs(self, h2: np.ndarray, slot: np.ndarray) -> tuple:
-        """Logits of classes, and, by class, of the slots in each right answer's class: right classes, right leaves by class, the order by class, each class's bounds in it, h2 in it, and both kinds of logits."""
-        cls = slot // LEAVES
+        part = 1 / times(s.reshape(-1, 2 * STRIDE), np.ones((2 * STRIDE, 1), np.float32)).ravel()
+        c = (s @ both).reshape(-1, d)
+        c *= part[:, None]
+        h1 = times(c, added)
+        h1 += flat
+        a = times(h1, p["A"])
+        np.maximum(a, np.zeros_like(a), out=a)
+        h2 = np.empty((n * STRIDE, d + 1), np.float32)
+        h2[:, d] = 1
+        np.add(h1, times(a, p["B"]), out=h2[:, :d])
+        return flat, both, q, s, part, c, h1, a, h2
+
+    def outputs(self, h2: np.ndarray, slot: np.ndarray, times: Callable = np.matmul, leaf_type: type = np.float32) -> tuple:
+        """Logits of classes, and, by class, of the slots in each right answer's class: right classes, right leaves by class, the order by class, each class's bounds in it, h2 in it, and both kinds of logits.
+
+        leaf_type: what the latter are computed in; doubles, once rounded, don't tell an id's place among its class.
+        """
+        cls = (slot // LEAVES).astype(np.uint8)  # bytes sort in linear time
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        own, leaves = h2[order], np.empty((len(h2), LEAVES), np.float32)
+        bounds = [0, *np.bincount(cls, minlength=CLASSES).cumsum().tolist()]
+        own, leaves = h2.take(order, axis=0).astype(leaf_type, copy=False), np.empty((len(h2), LEAVES), np.float32)
+        inner = np.concatenate([self.p["W2"], self.p["b2"][:, None]], axis=1).astype(leaf_type, copy=False)
         for k in range(CLASSES):
             if bounds[k] < bounds[k + 1]:
-                np.matmul(own[bounds[k] : bounds[k + 1]], self.p["W2"][k], out=leaves[bounds[k] : bounds[k + 1]])
-        leaves += self.p["b2"][cls[order]]
-        return cls, (slot % LEAVES)[order], order, bounds, own, h2 @ self.p["W"] + self.p["b"], leaves
+                np.matmul(own[bounds[k] : bounds[k + 1]], inner[k], out=leaves[bounds[k] : bounds[k + 1]])
+        return cls, (slot % LEAVES).take(order), order, bounds, own, times(h2, np.concatenate([self.p["W"], self.p["b"][None]])), leaves
 
     def log10(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Log10 chance of each next slot (rows, STRIDE)."""
-        at = np.arange(slot.size)
+        """Log10 chance of each next slot (rows, STRIDE), equal for equal rows after equal rows."""
+        at, whole = np.arange(slot.size), None
         for safe in (False, True):
             with np.errstate(all="ignore"):
-                cls, leaf, order, _, _, *both = self.outputs(self.forward(x, before, safe)[-1], slot.ravel())
+                cls, leaf, order, _, _, *both = self.outputs(self.forward(x, before, safe, by_block)[-1], slot.ravel(), by_block, float)
                 got = []
                 for z, right in zip(both, (cls, leaf), strict=True):
                     if safe:
                         z -= z.max(axis=1, keepdims=True)
-                    own = z[at, right]
+                    own = z.ravel().take(at * z.shape[1] + right)
                     np.exp(z, out=z)
-                    got.append(own - np.log(z @ np.ones(z.shape[1], np.float32)))
+                    got.append(own - np.log(z.sum(axis=1)))
                 out = got[0]
                 out[order] += got[1]
-            if np.isfinite(out).all():
+            out = out.reshape(slot.shape)
+            if whole is not None:  # safe, but only for the rows that need it
+                whole = np.where(fine[:, None], whole, out)
+                break
+            whole, fine = out, np.isfinite(out).all(axis=1)
+            if fine.all():
                 break
-        return (out / np.float32(math.log(10))).reshape(slot.shape)
+        return whole / np.float32(math.log(10))
 
     def gradient(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray, good: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, n, d = self.p, len(x), WIDTH
@@ -165,57 +201,65 @@ class Attention:
             made = self.forward(x, before, safe=False)
         if not np.isfinite(made[-1]).all():
             made = self.forward(x, before)
-        h, q, both, s, c, h1, a, h2 = made
+        h, both, q, s, part, c, h1, a, h2 = made
         ok = good.ravel()
-        share, at, ones = (ok / max(1, ok.sum())).astype(np.float32), np.arange(len(ok)), np.ones(len(ok), np.float32)
+        share, at = (ok / max(1, ok.sum())).astype(np.float32), np.arange(len(ok))
         cls, leaf, order, bounds, own, z, leaves = self.outputs(h2, slot.ravel())
         loss = 0.0
         for y, right, use in ((z, cls, share), (leaves, leaf, share[order])):
             if max(y.max(), -y.min()) > 60:
                 y -= y.max(axis=1, keepdims=True)
             np.exp(y, out=y)
-            y *= (1 / (y @ np.ones(y.shape[1], np.float32)))[:, None]
-            loss -= float(np.log(y[at, right] + 1e-20) @ use)
-            y[at, right] -= 1
-            y *= use[:, None]
-        g = {"W": h2.T @ z, "b": ones @ z, "W2": np.zeros_like(p["W2"]), "b2": np.zeros_like(p["b2"])}
-        back = np.empty_like(own)
+            total = y @ np.ones(y.shape[1], np.float32)
+            right = at * y.shape[1] + right
+            loss -= float(np.log(y.ravel().take(right) / total + 1e-20) @ use)
+            y *= (use / total)[:, None]
+            y.ravel()[right] -= use
+        outer, inner = h2.T @ z, np.zeros((CLASSES, d + 1, LEAVES), np.float32)
+        back, place = np.empty((len(own), d), np.float32), np.empty_like(order)
         for k in range(CLASSES):
             low, high = bounds[k], bounds[k + 1]
             if low < high:
-                g["W2"][k] = own[low:high].T @ leaves[low:high]
-                g["b2"][k] = ones[low:high] @ leaves[low:high]
+                np.matmul(own[low:high].T, leaves[low:high], out=inner[k])
                 np.matmul(leaves[low:high], p["W2"][k].T, out=back[low:high])
+        place[order] = at
+        g = {"W": outer[:d], "b": outer[d], "W2": inner[:, :d], "b2": inner[:, d]}
         dh2 = z @ p["W"].T
-        dh2[order] += back
-        two = lambda y: y.reshape(-1, y.shape[-1])
-        dh2 = dh2.reshape(n, STRIDE, d)
-        g["B"] = two(a).T @ two(dh2)
-        da = (dh2 @ p["B"].T) * (a > 0)
-        g["A"] = two(h1).T @ two(da)
-        dh1 = dh2 + da @ p["A"].T
-        g["O"] = two(c).T @ two(dh1)
-        dc = dh1 @ p["O"].T
-        ds = dc @ both[:, :, d:].transpose(0, 2, 1)
+        dh2 += back.take(place, axis=0)
+        g["B"] = a.T @ dh2
+        da = dh2 @ p["B"].T
+        da *= a > 0
+        g["A"] = h1.T @ da
+        dh1 = da @ p["A"].T
+        dh1 += dh2
+        into, added = self.folded()
+        g_added = c.T @ dh1
+        g["V"], g["O"] = g_added @ p["O"].T, p["V"].T @ g_added
+        dc = dh1 @ added.T
+        mean = (c * dc) @ np.ones(d, np.float32)  # of the weights' slopes, by the weights
+        mean *= part
+        dc *= part[:, None]
+        dc = dc.reshape(n, STRIDE, d)
+        ds = dc @ both.transpose(0, 2, 1)
+        ds -= mean.reshape(n, STRIDE, 1)
         ds *= s
-        ds -= s * (ds @ np.ones((2 * STRIDE, 1), np.float32))
-        g["D"] = np.bincount(np.clip(FAR, 0, 2 * STRIDE - 1).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
-        back2 = np.empty_like(both)  # of keys and values
-        back2[:, :, :d] = ds.transpose(0, 2, 1) @ q
-        back2[:, :, d:] = s.transpose(0, 2, 1) @ dc
-        every = np.empty((n, STRIDE, 3 * d), np.float32)
-        every[:, :, :d] = ds @ both[:, :, :d]
-        every[:, :, d:] = back2[:, STRIDE:]
-        has = before >= 0  # a row is before one other at most
-        every[before[has], :, d:] += back2[has, :STRIDE]
-        root = np.float32(math.sqrt(d))
-        g["Q"], g["K"], g["V"] = np.split(two(h).T @ two(every), 3, axis=1)
-        g["Q"] = g["Q"] / root
-        dh = dh1 + every @ np.concatenate([p["Q"] / root, p["K"], p["V"]], axis=1).T
+        g["D"] = np.bincount(np.clip(FAR, 0, 2 * STRIDE - 1).ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), 2 * STRIDE).astype(np.float32)
+        met = ds.transpose(0, 2, 1) @ q  # by the row above and the own, as keys and as values
+        met += s.transpose(0, 2, 1) @ dc
+        dq = (ds @ both).reshape(-1, d)
+        g_into = h.T @ dq / np.float32(math.sqrt(d))
+        g["Q"], g["K"] = g_into @ p["K"], g_into.T @ p["Q"]
+        dh = dq @ into.T
+        dh += dh1
+        rows = dh.reshape(n, STRIDE, d)
+        rows += met[:, STRIDE:]
+        rows[:-1] += met[1:, :STRIDE]  # zero where no row is before
+        own = x.ravel().astype(np.uint16)
+        order = np.argsort(own, kind="stable")
+        own = own.take(order)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         g["E"] = np.zeros_like(p["E"])
-        order = np.argsort(x.ravel(), kind="stable")
-        own, first = np.unique(x.ravel()[order], return_index=True)
-        g["E"][own] = np.add.reduceat(two(dh)[order], first)
+        g["E"][own[first]] = np.add.reduceat(dh.take(order, axis=0), first)
         return loss, g
 
     def fit(self, x: np.ndarray, before: np.ndarray, slot: np.ndarray, good: np.ndarray, steps: int = 1500, rows: int = 256, rate: float = 0.02) -> Attention:
@@ -376,13 +420,20 @@ def parts(docs: DataFrame, text: str, tokenizer: str, ids: int) -> DataFrame:
         uid = TaskContext.get().partitionId() << 33
         encode, counts = encoder(tokenizer), np.zeros(ids + 1, np.int64)
         place: dict[bytes, int] = {}
+        coded = [b""]  # subword ids of the word of each place
         tally, ends, size = np.zeros(1 << 16, np.int64), 0, 0
 
-        def numbers(words: list[bytes]) -> np.ndarray:
+        def new(word: bytes) -> int:
+            at = place.setdefault(word, len(place) + 1)
+            if at == len(coded):
+                coded.append(encode.word(word))
+            return at
+
+        def numbers(words: list[bytes]) -> list[int]:
             found = list(map(place.get, words))
             if None in found:
-                found = [place.setdefault(w, len(place) + 1) for w in words]
-            return np.array(found, np.uint32)
+                found = [new(w) if at is None else at for w, at in zip(words, found, strict=True)]
+            return found
 
         def listed() -> pd.DataFrame:
             hashes = np.fromiter(map(hashed, place), np.int64, len(place))
@@ -391,9 +442,9 @@ def parts(docs: DataFrame, text: str, tokenizer: str, ids: int) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 rows = batch.iloc[low : low + 256]
-                lowered = [b.lower() for b in rows["bytes_"]]
-                own = [numbers(b.split()) for b in lowered]
-                bodies = [np.frombuffer(x, "<u4") for x in encode(lowered)]
+                found = [numbers(b.lower().split()) for b in rows["bytes_"]]
+                own = [np.array(f, np.uint32) for f in found]
+                bodies = [np.frombuffer(b"".join(map(coded.__getitem__, f)), "<u4") for f in found]
                 train = ~rows["held_out"].to_numpy(bool)
                 while len(place) + 1 > len(tally):
                     tally = np.concatenate([tally, np.zeros_like(tally)])
@@ -404,10 +455,11 @@ def parts(docs: DataFrame, text: str, tokenizer: str, ids: int) -> DataFrame:
                 ends += int(train.sum())
                 yield shaped(rows.assign(uid=np.arange(uid, uid + len(rows)), block=block, ids=[packed(x) for x in bodies], words=[w.tobytes() for w in own]))
                 uid += len(rows)
-                size += sum(map(len, lowered))
+                size += sum(map(len, rows["bytes_"]))
                 if size >= BLOCK_BYTES:
                     yield shaped(listed())
                     place.clear()
+                    del coded[1:]
                     tally, ends, size, block = np.zeros(1 << 16, np.int64), 0, 0, block + 1
         yield shaped(listed())
         known = np.flatnonzero(counts)

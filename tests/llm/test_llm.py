@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -427,6 +428,32 @@ def test_lm_gradient_is_the_slope():
         assert abs((loss[0] - loss[1]) / 0.02 - float((g[name] * way).sum())) < 0.02 * max(1, abs(loss[0] - loss[1]) / 0.02), name
 
 
+def test_lm_equal_texts_have_equal_scores():
+    """Whatever else is in their batch."""
+    rng = np.random.default_rng(6)
+    slots = lm_scoring.Slots(np.append(rng.integers(1, 900, 2500), 40))
+    model = lm_scoring.Attention(slots.weight)
+    texts = [rng.integers(0, 2500, int(n)).astype("<u4") for n in rng.integers(0, 300, 120)]
+    whole, mixed = lm_scoring.scores(texts, slots, model), rng.permutation(120)
+    assert (lm_scoring.scores([texts[i] for i in mixed], slots, model) == whole[mixed]).all()
+    assert all(lm_scoring.scores([t], slots, model)[0] == w for t, w in zip(texts, whole, strict=True))
+
+
+def test_lm_passes_hold_no_copies_of_keys_and_values():
+    """Rows meet the row above where it is stored: what a pass holds at once, in bytes an id."""
+    rng = np.random.default_rng(5)
+    slots = lm_scoring.Slots(np.append(rng.integers(1, 90, 2000), 40))
+    model = lm_scoring.Attention(slots.weight)
+    x, before, follow, here, _ = lm_scoring.laid_out([rng.integers(0, 2000, n).astype("<u4") for n in (2000, 3, 2060)], slots)
+    slot, peaks = slots.slot[follow], []
+    for run in (lambda: model.gradient(x, before, slot, here), lambda: model.log10(x, before, slot)):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] / x.size)
+        tracemalloc.stop()
+    assert peaks[0] < 2200 and peaks[1] < 850, peaks
+
+
 def test_lm_gradient_and_training():
     slots = lm_scoring.Slots(np.append(np.full(300, 7), 3))
     model = lm_scoring.Attention(slots.weight)
