@@ -310,3 +310,38 @@ def test_local_queries_shuffle_training_rows_once(spark, tmp_path):
     at = np.arange(120) % 5 != 0
     assert "Generate" not in plan and "CoGroup" not in plan
     assert np.array_equal(fractions(got), lm.MODELS["knn_local_metric"](lm.Fold(x[at], y[at], x[~at])))
+
+
+@pytest.mark.parametrize("scale", [1, 1e-25])
+@pytest.mark.parametrize("block", [16384, 70])
+def test_all_common_rows_inside_a_radius_are_counted(spark, monkeypatch, block, scale):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((300, 3)), 1) * scale  # with equal distances
+    y, fold = np.r_[np.ones(40, int), np.zeros(260, int)], rng.integers(0, 3, 300)
+    df = frame(spark, x, y).join(spark.createDataFrame([(i, int(f)) for i, f in enumerate(fold)], "id long, fold int"), "id")
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", block)
+    got = {r["id"]: (r["rare"], r["inside"]) for r in neighbours.counts_inside(df, df, (1, 3, 12, 99), "fold").collect()}
+    for i in range(300):
+        d = neighbours.distances(x[i], x)
+        a, b = np.sort(d[(y == 1) & (fold != fold[i])]), d[(y == 0) & (fold != fold[i])]
+        assert got[i] == (len(a), [int((b <= a[min(p, len(a)) - 1]).sum()) for p in (1, 3, 12, 99)])
+
+
+def test_local_counts_go_beyond_the_list_of_common_rows(spark, tmp_path):
+    from rarefold.plans import queries
+
+    x, y, _ = cloud(seed=6, n=600, rare=60)
+    frame(spark, x, y).selectExpr("id AS vec_id", "1 - y AS label", "v AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    at, want, longest = np.arange(600) % 5 != 0, [], 0
+    t, u = x[at], y[at]
+    for q in x[~at]:
+        d = np.linalg.norm(t - q, axis=1)
+        a, b = np.sort(d[u == 1]), np.sort(d[u == 0])
+        ref = int((u == 1).sum() ** 0.5)
+        n = int((b <= a[ref - 1]).sum())
+        longest = max(longest, n)
+        wins, made = lm.vote(a, b, n / ref)
+        want.append(wins / made)
+    s = neighbours.sizes(frame(spark, t, u))
+    assert longest > s.k_maj
+    assert np.allclose(fractions(queries.QUERIES["l2_rank_vote_local_count"](spark, str(tmp_path))), want, atol=1e-9)
