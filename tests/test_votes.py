@@ -345,3 +345,39 @@ def test_local_counts_go_beyond_the_list_of_common_rows(spark, tmp_path):
     s = neighbours.sizes(frame(spark, t, u))
     assert longest > s.k_maj
     assert np.allclose(fractions(queries.QUERIES["l2_rank_vote_local_count"](spark, str(tmp_path))), want, atol=1e-9)
+
+
+def test_local_exponents_go_beyond_the_list_of_common_rows(spark):
+    x, y, q = cloud(seed=7, n=500, rare=40)
+    dt = frame(spark, x, y)
+    s = neighbours.sizes(dt, n_votes=5)
+    got = fractions(votes.bayesian(neighbours.class_lists(frame(spark, q, start=1000), dt, s.k_min_eff, s.k_maj), s, 0.5, 5))
+    want, longest = [], 0
+    for p in q:
+        d = np.linalg.norm(x - p, axis=1)
+        a, b = np.sort(d[y == 1]), np.sort(d[y == 0])
+        n, ref = int((b <= a[5]).sum()), 6
+        longest, w = max(longest, n), ref / (ref + n)
+        wins, made = lm.vote(a, b, s.r ** (w * 0.5 + (1 - w) * np.log(n / ref) / np.log(s.r)) if n else s.r**0.5)
+        want.append(wins / made)
+    assert longest > s.k_maj
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_grids_of_whole_lists_reach_beyond_the_caps(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((1560, 1)), np.r_[np.ones(18, int), np.zeros(1542, int)]
+    t = selection.folds(frame(spark, x, y), 3).cache()
+    fold = np.array([r["fold"] for r in t.orderBy("id").collect()])
+    cells = {}
+    for f in range(3):
+        a, b = x[(fold != f) & (y == 1), 0], x[(fold != f) & (y == 0), 0]
+        for n in (1, 12):
+            p = []
+            for v in x[fold == f, 0]:
+                wins, made = lm.vote(np.sort(abs(a - v)), np.sort(abs(b - v)), len(b) / len(a), n)
+                p.append(wins / made)
+            cells.setdefault(n, []).append(lm.g_mean(y[fold == f], np.array(p)))
+    got = {r["n_votes"]: r["score"] for r in selection.grid_scores(t, (1.0,), (1, 12), whole=True).collect()}
+    cut = {r["n_votes"]: r["score"] for r in selection.grid_scores(t, (1.0,), (1, 12)).collect()}
+    assert all(abs(got[n] - np.mean(cells[n])) < 1e-12 for n in (1, 12)) and abs(cut[12] - got[12]) > 1e-6
