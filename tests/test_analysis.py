@@ -328,3 +328,19 @@ def test_csv_tables_of_any_size_are_found(spark, tmp_path):
     from rarefold.plans.queries import QUERIES
 
     assert sorted(r["n"] for r in QUERIES["s1_csv_tables"](spark, str(tmp_path)).collect()) == [20, 50_001]
+
+
+def test_exponents_are_of_whole_vectors(spark, tmp_path):
+    from rarefold.functions.geometry import components_for
+    from rarefold.plans import queries
+
+    rng = np.random.default_rng(9)
+    label, x = np.arange(375) % 4, rng.standard_normal((375, 12))
+    x[:, :10] *= 0.01
+    x[label == 1, 11] *= 0.01  # the places that count are beyond the eighth
+    data = [(i, int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(label, x, strict=True))]
+    spark.createDataFrame(data, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["dataset"]: r["ratio"] for r in queries.QUERIES["z8_exponents"](spark, str(tmp_path)).collect()}
+    t = np.arange(375) % 5 != 0
+    want = {f"label {c}": components_for(x[t & (label == c)]) / components_for(x[t & (label != c)]) for c in range(4)}
+    assert got == pytest.approx(want) and len(set(got.values())) > 1
