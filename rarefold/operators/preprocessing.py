@@ -40,9 +40,9 @@ def standardised_vectors(df: DataFrame, train: Column, v: str = "v") -> DataFram
 
 
 def varying(df: DataFrame, columns: Sequence[str], train: Column | None = None) -> DataFrame:
-    """column and deviation, of the columns that vary over the (training) rows."""
+    """column and deviation, of the columns that vary over the (training) rows (P3, P5): whose least and greatest numbers differ, as merged means of one number may miss it by a digit."""
     own = df.where(train) if train is not None else df
-    return own.agg(*[F.stddev_pop(c).alias(c) for c in columns]).unpivot([], list(columns), "column", "deviation").where("deviation > 0")
+    return own.agg(*[F.when(F.min(c) < F.max(c), F.stddev_pop(c)).alias(c) for c in columns]).unpivot([], list(columns), "column", "deviation").where("deviation > 0")
 
 
 def without_constants(df: DataFrame, columns: Sequence[str], train: Column | None = None) -> DataFrame:

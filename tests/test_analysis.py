@@ -344,3 +344,9 @@ def test_exponents_are_of_whole_vectors(spark, tmp_path):
     t = np.arange(375) % 5 != 0
     want = {f"label {c}": components_for(x[t & (label == c)]) / components_for(x[t & (label != c)]) for c in range(4)}
     assert got == pytest.approx(want) and len(set(got.values())) > 1
+
+
+def test_columns_of_one_number_do_not_vary_however_rows_are_dealt(spark):
+    # 8 parts of 49 rows: 1 / 49 * 49 is below 1
+    df = spark.range(0, 8 * 49, 1, 8).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    assert [r["column"] for r in preprocessing.varying(df, ["a", "b"]).collect()] == ["a"]
