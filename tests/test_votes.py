@@ -381,3 +381,31 @@ def test_grids_of_whole_lists_reach_beyond_the_caps(spark):
     got = {r["n_votes"]: r["score"] for r in selection.grid_scores(t, (1.0,), (1, 12), whole=True).collect()}
     cut = {r["n_votes"]: r["score"] for r in selection.grid_scores(t, (1.0,), (1, 12)).collect()}
     assert all(abs(got[n] - np.mean(cells[n])) < 1e-12 for n in (1, 12)) and abs(cut[12] - got[12]) > 1e-6
+
+
+@pytest.mark.parametrize("name", sorted(lm.DEALT))
+@pytest.mark.parametrize("shares", [1, 3])
+def test_long_fits_are_the_same_in_jobs(name, shares, monkeypatch):
+    x, y, q = cloud(seed=2, n=200, rare=40)
+    x[y == 0] += np.where(np.arange(160) % 2, 9, 0)[:, None]  # regions
+    want = lm.MODELS[name](lm.Fold(x, y, q))
+    monkeypatch.setattr(lm, "shares_of", lambda n: shares)
+    monkeypatch.setattr(lm, "PART", 2000)
+    jobs, job, fitted = lm.DEALT[name]
+    if name == "knn_synthetic_best_k":
+        jobs = lambda n: shares
+    f = lm.Fold(x, y, q)
+    fitted(f, [job(lm.Fold(x, y, x[:0]), i) for i in range(jobs(200))])
+    for dealt in ("inner", "judged", "regions"):
+        monkeypatch.setattr(lm, dealt, None) if hasattr(lm, dealt) else monkeypatch.setattr(lm.Fold, dealt, None)
+    assert np.array_equal(np.concatenate([lm.MODELS[name](p) for p in f.parts()]), want)
+
+
+def test_neighbours_of_a_fold_are_searched_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((300, 2)), 1)
+    monkeypatch.setattr(lm, "TRAIN_BLOCK", 64)
+    monkeypatch.setattr(lm, "ROWS", 100)
+    full = geometry.smallest(geometry.pairwise(x[:50], x), 40)
+    monkeypatch.setattr(lm, "pairwise", None)
+    assert np.array_equal(lm.Fold(x, np.zeros(300, int), x[:50]).nearest(40), full)
